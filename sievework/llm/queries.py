@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -12,8 +14,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(table(spark, sf_dir, "documents"), ranks, full=False)
+
+
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE_SQL = {
