@@ -63,11 +63,14 @@ def spread(lengths: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceCoder:
-    """Codes texts piece by piece. Equal pieces of many texts are found by a rolling hash, compared
-    sign by sign, and coded once; encode(list of pieces) gives their ids as little-endian unsigned
-    32-bit integers. Bounds of the memory: characters in work at once and pieces kept."""
+    """Codes texts piece by piece. Equal pieces of many texts are found by a rolling 64-bit hash and
+    their lengths, and coded once; encode(list of pieces) gives their ids as little-endian unsigned
+    32-bit integers. Bounds of the memory: characters in work at once and pieces kept.
 
-    FACTOR = 0x9E3779B97F4A7C15
+    Long pieces, of which such a hash has known collisions, are also compared sign by sign.
+    """
+
+    FACTOR, SURE = 0x9E3779B97F4A7C15, 64
 
     def __init__(self, encode, chars: int = 2_000_000, kept: int = 500_000):
         self.encode, self.chars, self.kept = encode, chars, kept
@@ -83,12 +86,16 @@ class PieceCoder:
                 setattr(self, name, np.cumprod(steps))
 
     def _known(self, found: list[str]) -> list[bytes]:
-        new = [x for x in found if x not in self.cache]
+        codes = list(map(self.cache.get, found))
+        new = [x for x, code in zip(found, codes, strict=True) if code is None]
+        if not new:
+            return codes
+        made = self.encode(new)
         if len(self.cache) + len(new) > self.kept:
             self.cache.clear()
-            new = found
-        self.cache.update(zip(new, self.encode(new), strict=True))
-        return [self.cache[x] for x in found]
+        self.cache.update(zip(new, made, strict=True))
+        rest = iter(made)
+        return [next(rest) if code is None else code for code in codes]
 
     def _ids(self, text: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray):
         """The ids of the pieces, and how many each has."""
@@ -98,15 +105,18 @@ class PieceCoder:
         keys = (sums[end] - sums[begin]) * self.inverses[begin]
         _, first, of = np.unique(keys, return_index=True, return_inverse=True)
         lengths = end - begin
-        if (lengths != lengths[first[of]]).any() or (
-            points[spread(lengths, begin)] != points[spread(lengths, begin[first[of]])]
-        ).any():  # two pieces share a hash
+        like = first[of]
+        far = np.flatnonzero(lengths > self.SURE)
+        if (lengths != lengths[like]).any() or (
+            points[spread(lengths[far], begin[far])] != points[spread(lengths[far], begin[like[far]])]
+        ).any():
             first = of = np.arange(len(begin))
         found = [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         codes = self._known(found)
         counts = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         flat = np.frombuffer(b"".join(codes), "<u4")
-        return flat[spread(counts[of], (np.cumsum(counts) - counts)[of])], counts[of]
+        each = counts[of]
+        return flat[spread(each, (np.cumsum(counts) - counts)[of])], each
 
     def long(self, text: str) -> np.ndarray:
         points = points_of(text)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), ranks, full=False)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
