@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_decode
 from .chat import digests, format_chats
-from .common import table
+from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .toxicity import fit_toxicity, score_toxicity
+
+#: Scores from which a document counts as toxic, and as good.
+TOXIC_FROM, GOOD_FROM = 0.5, 0.3
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +38,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(rows.unionByName(extra)))
 
 
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _judged(score_toxicity(docs, model), TOXIC_FROM)
+
+
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_chat_format": op10_chat_format,
     "op9_packing": op9_packing,
