@@ -11,6 +11,7 @@ from .chat import digests, format_chats
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 
 #: Scores from which a document counts as toxic, and as good.
@@ -49,9 +50,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(score_toxicity(docs, model), TOXIC_FROM)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return _judged(score_quality(docs, net), GOOD_FROM)
+
+
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_quality": op5_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_chat_format": op10_chat_format,
     "op9_packing": op9_packing,
