@@ -10,6 +10,7 @@ from .byte_bpe import encode_decode
 from .chat import digests, format_chats
 from .common import held_out, table
 from .exact_dedup import exact_dedup
+from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
@@ -56,7 +57,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(score_quality(docs, net), GOOD_FROM)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
