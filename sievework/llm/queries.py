@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_decode
 from .chat import digests, format_chats
 from .common import held_out, table
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .ngram_jaccard import jaccard_components
 from .packing import pack
@@ -61,11 +62,16 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_chat_format": op10_chat_format,
     "op9_packing": op9_packing,
