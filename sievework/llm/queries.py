@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
 #: Scores from which a document counts as toxic, and as good.
@@ -66,10 +67,15 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_byte_bpe": op8_byte_bpe,
