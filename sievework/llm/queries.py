@@ -11,6 +11,7 @@ from .chat import digests, format_chats
 from .common import held_out, table
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .quality import fit_quality, score_quality
@@ -71,9 +72,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
+    "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
