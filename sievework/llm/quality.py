@@ -11,12 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .training import labelled_sample
+from .training import labelled_sample, scored
 
 EMBEDDED, BLOCK, FILTERS = 4, 4, 24
 #: Filter positions of half a chunk.
@@ -183,23 +181,20 @@ def _long(raw: bytes, net: Network) -> np.ndarray:
     return described(chunk, halves)
 
 
+def rows_with_quality(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """(row, score): docs' rows, whole, with their scores."""
+    held = docs.sparkSession.sparkContext.broadcast(net)
+    return scored(docs, lambda: lambda texts: scores(texts, held.value), text_col)
+
+
 def score_quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score in 0 to 1.
 
     Null and empty texts score as one chunk of padding. Repeated rows score alike; a null id stays
     null; an empty table gives no rows; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(net)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = scores(some.column(1).to_pylist(), held.value)
-                yield pa.record_batch([some.column(0), pa.array(found, pa.float64())], names=["id", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    rows = rows_with_quality(docs.select(id_col, F.col(text_col).cast("string").alias("text")), net)
+    return rows.select(F.col("row")[id_col].alias(id_col), "score")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, longest: int = 10_000) -> Network:

@@ -11,13 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .training import labelled_sample
 from .pieces import points_of, spread
+from .training import labelled_sample, scored
 
 BUCKETS_BITS, DIMENSIONS, GRAMS = 17, 8, (3, 4, 5)
 WINDOW, STEP = 16, 8
@@ -167,24 +165,25 @@ def scores(texts: list[str], model: Toxicity, cache: dict[str, float]) -> np.nda
     return 1 / (1 + np.exp(-np.clip(top, -500, 500)))
 
 
+def rows_with_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
+    """(row, score): docs' rows, whole, with their scores."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scorer():
+        cache: dict[str, float] = {}
+        return lambda texts: scores(texts, held.value, cache)
+
+    return scored(docs, scorer, text_col)
+
+
 def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score in 0 to 1.
 
     Null and empty texts and texts of white space score as the model's bias says. Repeated rows
     score alike; a null id stays null; an empty table gives no rows; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        cache: dict[str, float] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = scores(some.column(1).to_pylist(), held.value, cache)
-                yield pa.record_batch([some.column(0), pa.array(found, pa.float64())], names=["id", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    rows = rows_with_toxicity(docs.select(id_col, F.col(text_col).cast("string").alias("text")), model)
+    return rows.select(F.col("row")[id_col].alias(id_col), "score")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 10_000) -> Toxicity:

@@ -1,10 +1,14 @@
-"""The bounded labelled sample that the classifiers learn from."""
+"""What the classifiers share: the bounded labelled sample, and scoring of whole rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, text_of
 
@@ -30,3 +34,22 @@ def labelled_sample(
         [("doc_id", "ascending"), ("text", "ascending")]
     )
     return found["text"].to_pylist(), np.array(found["y"].to_pylist(), np.int64)
+
+
+def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str) -> DataFrame:
+    """(row, score): each row of docs as a struct, so that no name can clash, and its score.
+
+    scorer is called once in each task and gives the function that scores a list of texts; null
+    texts are empty.
+    """
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        score = scorer()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                row = batch.slice(low, 256).column(0)
+                texts = [x or "" for x in row.field(text_col).to_pylist()]
+                yield pa.record_batch([row, pa.array(score(texts), pa.float64())], names=["row", "score"])
+
+    return docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")).mapInArrow(run, schema)
