@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
 @query("o1_sort_blur", """
     WITH e AS (SELECT event_id, CASE WHEN value < 1 THEN 0 ELSE value END AS score FROM events),
     k AS (SELECT event_id, row_number() OVER (ORDER BY score DESC, event_id) - 1 AS rank FROM e WHERE score <> 0)
-    SELECT event_id, e.score = 0 OR e.score IS NULL AS is_trash, k.rank,
+    SELECT event_id, e.score = 0 OR e.score IS NULL AS is_trash, coalesce(k.rank, -1) AS rank,
            CASE WHEN k.rank IS NOT NULL THEN (CASE WHEN k.rank < 100000 THEN lpad(k.rank::VARCHAR, 5, '0') ELSE k.rank::VARCHAR END) || '.jpg' END AS new_name
     FROM e LEFT JOIN k USING (event_id)""")
 def o1_sort_blur(spark, sf_dir):
@@ -47,7 +47,7 @@ def o1_sort_blur(spark, sf_dir):
         "event_id", F.when(F.col("value") < 1, 0.0).otherwise(F.col("value")).alias("sharp"), F.lit("in/a.jpg").alias("path")
     )
     ranked = rank.sort_by(events, F.col("sharp"), ["event_id"], reject=F.col("sharp") == 0, path="path")
-    return ranked.select("event_id", "is_trash", "rank", "new_name")
+    return ranked.select("event_id", "is_trash", F.coalesce("rank", F.lit(-1)).alias("rank"), "new_name")
 
 
 @query("o3_sort_yaw", """
@@ -92,10 +92,10 @@ def o9_sort_black(spark, sf_dir):
 @query("o10_sort_origname", """
     WITH p AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN url END AS source FROM pages),
     k AS (SELECT page_id, row_number() OVER (ORDER BY source, page_id) - 1 AS rank FROM p WHERE source IS NOT NULL)
-    SELECT page_id, source IS NULL AS is_trash, rank FROM p LEFT JOIN k USING (page_id)""")
+    SELECT page_id, source IS NULL AS is_trash, coalesce(rank, -1) AS rank FROM p LEFT JOIN k USING (page_id)""")
 def o10_sort_origname(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("source"))
-    return rank.by_original_name(pages, "source", ["page_id"]).select("page_id", "is_trash", "rank")
+    return rank.by_original_name(pages, "source", ["page_id"]).select("page_id", "is_trash", F.coalesce("rank", F.lit(-1)).alias("rank"))
 
 
 _ABS = "list_transform(embedding, lambda x: abs(x::DOUBLE))"
@@ -145,14 +145,15 @@ _TARGET = 300
     o AS (SELECT c.*, row_number() OVER (PARTITION BY g, pg ORDER BY apart DESC, sharp DESC, c.id) AS r2 FROM c JOIN s ON c.id = s.id),
     k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY r2, pg) AS k FROM o),
     z AS (SELECT id, pg, row_number() OVER (ORDER BY g, k) - 1 AS rank FROM k WHERE k <= q)
-    SELECT r.id AS vec_id, r.g AS yaw_bucket, z.pg AS pitch_bucket, z.id IS NULL AS is_trash, z.rank FROM r LEFT JOIN z ON r.id = z.id""")
+    SELECT r.id AS vec_id, r.g AS yaw_bucket, coalesce(z.pg, -1) AS pitch_bucket, z.id IS NULL AS is_trash, coalesce(z.rank, -1) AS rank FROM r LEFT JOIN z ON r.id = z.id""")
 def o13_best_n(spark, sf_dir):
     d = lambda k: F.col("embedding")[k].cast("double")
     rows = _t(spark, sf_dir, "embeddings").select(
         "vec_id", d(2).alias("sharp"), (d(0) * 4).alias("yaw"), (d(1) * 5).alias("pitch"),
         F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("hist"),
     )
-    return select.best_n(rows, "vec_id", "sharp", "yaw", "pitch", "hist", _TARGET)
+    chosen = select.best_n(rows, "vec_id", "sharp", "yaw", "pitch", "hist", _TARGET)
+    return chosen.na.fill(-1, ["pitch_bucket", "rank"])
 
 
 def _boxes(spark, sf_dir):
