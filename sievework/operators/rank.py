@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, geometry, paths
+from ..storage import written
 
 
 def sort_by(
@@ -36,10 +37,12 @@ def sort_by(
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Numbers all rows from 0 in this order without gathering them in one task: rows are ranged by
-    the order, numbered inside their ranges, and shifted by the sizes of the ranges before."""
+    the order, numbered inside their ranges, and shifted by the sizes of the ranges before.
+
+    Range bounds come from a sample that differs from run to run, so the ranged rows are written
+    once and what follows reads the same ranges, also after an executor is lost."""
     ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
-    # the range's number must outlive the window's shuffle
-    marked = ranged.withColumn("_range", F.spark_partition_id())
+    marked = written(ranged.withColumn("_range", F.spark_partition_id()), "ranged")
     within = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     numbered = marked.withColumn("_within", F.row_number().over(within) - 1)
     sizes = marked.groupBy("_range").agg(F.count("*").alias("_n"))
