@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays, geometry, options, paths
 from .operators import aggregates, chain, filters, joins, rank, select, windows
+from .sources import faceset, files
 
 FLAGSHIP = "o13_best_n"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,9 +470,7 @@ def k7_recovered_names(spark, sf_dir):
     SELECT min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '(.)[.][^.]*$', '\\1') AS stem,
            row_number() OVER (PARTITION BY regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '(.)[.][^.]*$', '\\1') ORDER BY url, page_id) AS k FROM pages) WHERE k = 1 GROUP BY stem""")
 def s3_unique_stems(spark, sf_dir):
-    from .sources.files import unique_stems
-
-    return unique_stems(_t(spark, sf_dir, "pages").select("page_id", "url"), "url", ["page_id"]).select("page_id")
+    return files.unique_stems(_t(spark, sf_dir, "pages").select("page_id", "url"), "url", ["page_id"]).select("page_id")
 
 
 @query("s14_options", """
@@ -542,3 +541,106 @@ def p2_stratified(spark, sf_dir):
 def p4_batches(spark, sf_dir):
     one = select.epoch_shuffle(_t(spark, sf_dir, "customer"), "c_custkey", 7).select("c_custkey", "position")
     return select.batches(one, "position", 16, "c_custkey")
+
+
+# Further operators of the inventory
+
+
+@query("f6_labelled_only", "SELECT vec_id FROM embeddings WHERE label > 1000 OR label >= 3")
+def f6_labelled_only(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
+    found = filters.first_that_holds(rows, lambda d: d.where("label > 1000"), lambda d: d.where("label >= 3"))
+    return found.select("vec_id")
+
+
+@query("f9_passthrough", """
+    SELECT c_custkey, coalesce(count(o_orderkey), 0) AS n, count(o_orderkey) = 0 AS is_empty FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 GROUP BY 1""")
+def f9_passthrough(spark, sf_dir):
+    faces = _t(spark, sf_dir, "orders").where("o_totalprice > 400000").select("o_custkey", "o_orderkey")
+    joined = joins.frames_with_faces(_t(spark, sf_dir, "customer").select("c_custkey"), faces, "c_custkey", "o_custkey", ["o_orderkey"])
+    return joined.select("c_custkey", F.size("faces").cast("long").alias("n"), (F.size("faces") == 0).alias("is_empty"))
+
+
+@query("f11_not_detected", """
+    SELECT count(*) FILTER (n = 0) AS missed, bool_and(n > 0) AS all_detected
+    FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""")
+def f11_not_detected(spark, sf_dir):
+    frames = _t(spark, sf_dir, "orders").select("o_orderkey")
+    joined = joins.frames_with_faces(frames, _t(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", ["l_linenumber"])
+    n = F.size("faces")
+    return joined.agg(F.sum((n == 0).cast("long")).alias("missed"), F.bool_and(n > 0).alias("all_detected"))
+
+
+@query("k9_newest_versions", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 24")
+def k9_newest_versions(spark, sf_dir):
+    return faceset.newest_versions(_t(spark, sf_dir, "events").select("event_id"), "event_id")
+
+
+@query("s13_mask_names", """
+    SELECT p_partkey, split_part(p_name, ' ', 1) AS id, substr(p_name, length(split_part(p_name, ' ', 1)) + 2) AS mask_type FROM part WHERE p_name LIKE '% %'""")
+def s13_mask_names(spark, sf_dir):
+    named = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), F.lit(".png")).alias("path"))
+    found = named.select("p_partkey", paths.id_and_mask(F.col("path")).alias("m")).where("m IS NOT NULL")
+    return found.select("p_partkey", "m.id", "m.mask_type")
+
+
+@query("s17_streams", """
+    SELECT user_id AS path, event_type AS codec_type, min(event_id) AS index, arg_min(props, event_id) AS r_frame_rate FROM events
+    WHERE event_type IN ('click', 'error') GROUP BY 1, 2""")
+def s17_streams(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "video").when(F.col("event_type") == "error", "audio").alias("codec_type")
+    probe = _t(spark, sf_dir, "events").select(F.col("user_id").alias("path"), kind, F.col("event_id").alias("index"), F.col("props").alias("r_frame_rate"))
+    found = files.streams(probe)
+    return found.withColumn("codec_type", F.when(F.col("codec_type") == "video", "click").otherwise("error"))
+
+
+@query("o15_area_descending", """
+    SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS faces FROM lineitem GROUP BY 1""")
+def o15_area_descending(spark, sf_dir):
+    face = F.struct((-F.col("l_extendedprice")).alias("a"), "l_linenumber", "l_partkey", "l_suppkey")
+    frames = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(face)).alias("f"))
+    shown = F.transform("f", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string")))
+    return frames.select("l_orderkey", F.array_join(shown, ",").alias("faces"))
+
+
+@query("o18_include_first", """
+    SELECT user_id, string_agg(event_id, ',' ORDER BY (event_type <> 'click')::INT, event_id) AS polygons FROM events GROUP BY 1""")
+def o18_include_first(spark, sf_dir):
+    polygon = F.struct(F.col("event_id").alias("at"), (F.col("event_type") == "click").cast("int").alias("type"))
+    grouped = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(polygon)).alias("p"))
+    ordered = F.transform(geometry.include_first(F.col("p")), lambda p: p["at"].cast("string"))
+    return grouped.select("user_id", F.array_join(ordered, ",").alias("polygons"))
+
+
+@query("a18_last_rows", "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 500")
+def a18_last_rows(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("event_id")).limit(500)
+
+
+@query("g14_histogram_distance", f"""
+    WITH v AS (SELECT vec_id, {_ABS} AS h FROM embeddings)
+    SELECT a.vec_id, round({_BHATTACHARYYA}, 6) AS distance FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def g14_histogram_distance(spark, sf_dir):
+    a = _histograms(spark, sf_dir).select("vec_id", F.col("hist").alias("a"))
+    b = _histograms(spark, sf_dir).select((F.col("vec_id") - 1).alias("vec_id"), F.col("hist").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", F.round(arrays.bhattacharyya(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@query("g17_rescaled_boxes", f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trunc(l * 1.5)::BIGINT AS l, trunc(t * 1.5)::BIGINT AS t, trunc(r * 1.5)::BIGINT AS r,
+           trunc(b * 1.5 + (b * 1.5 - t * 1.5) * 0.1::DOUBLE)::BIGINT AS b FROM {_BOXES}""")
+def g17_rescaled_boxes(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    l, t, r, b = geometry.rescale_rect(tuple(F.col(c) for c in "ltrb"), F.lit(1.5))  # noqa: E741
+    return boxes.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", l.alias("l"), t.alias("t"), r.alias("r"), b.alias("b"))
+
+
+@query("p3_uniform_yaw_strata", """
+    WITH e AS (SELECT [-1.2 + k * (2.4 / 127) for k in range(127)] || [1.2] AS e),
+    b AS (SELECT greatest(len(list_filter(e, lambda x: x <= embedding[1]::DOUBLE * 4)) - 1, 0) AS bucket FROM embeddings, e)
+    SELECT bucket AS stratum, count(*) AS n, max(0) AS first_turn, count(*) - 1 AS last_turn FROM b GROUP BY 1""")
+def p3_uniform_yaw_strata(spark, sf_dir):
+    yaw = F.col("embedding")[0].cast("double") * 4
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", arrays.bucket(yaw, arrays.YAW_EDGES).alias("bucket"))
+    turns = select.stratified(rows, "vec_id", "bucket", 7).groupBy("stratum")
+    return turns.agg(F.count("*").alias("n"), F.min("turn").cast("int").alias("first_turn"), F.max("turn").alias("last_turn"))
