@@ -20,10 +20,12 @@ from sievework.llm.toxicity import fit_toxicity, rows_with_toxicity
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of these ids (null is an id too), each id once, with docs' columns."""
-    key = ids.select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(key, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of docs with one of these ids (null is an id too), each id once, with docs' columns.
+    The rows are partitioned by one key for the join and for leaving repeated rows out."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("id"))
+    kept = rows.join(ids.select(key.alias("id")), "id", "left_semi")
+    return kept.dropDuplicates(["id"]).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
