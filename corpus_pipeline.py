@@ -6,11 +6,13 @@ of documents. Every stage works on all that the one before kept, written as Parq
 
 from __future__ import annotations
 
+from itertools import count
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import table, written
+from sievework.llm.common import drop_written, table, text_of, written
 from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.ngram_jaccard import jaccard_components
 from sievework.llm.packing import pack
@@ -19,13 +21,40 @@ from sievework.llm.queries import GOOD_FROM, TOXIC_FROM
 from sievework.llm.toxicity import fit_toxicity, rows_with_toxicity
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of these ids (null is an id too), each id once, with docs' columns.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row (docs' columns) with what tells rows apart: the id (null is an id too) and the text's digest."""
+    return docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.sha2(text_of("text").cast("binary"), 256).alias("digest"),
+    )
+
+
+KEYS = ["none", "id", "digest"]
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs with one of these KEYS, with docs' columns. Of rows equal in id and text one
+    stays, the least by its columns, so that the choice cannot change between runs.
     The rows are partitioned by one key for the join and for leaving repeated rows out."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), key.alias("id"))
-    kept = rows.join(ids.select(key.alias("id")), "id", "left_semi")
-    return kept.dropDuplicates(["id"]).select("row.*")
+    kept = _keyed(docs).join(keys, KEYS, "left_semi")
+    return kept.groupBy(*KEYS).agg(F.min("row").alias("row")).select("row.*")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(number, text) of docs' rows, and (number, doc_id, KEYS) with one row for each number. A number
+    stands for an id and a text; where ids are null it is null. Numbers are hashes, so they are drawn
+    anew should two rows that differ share one."""
+    rows = _keyed(docs)
+    for seed in count():
+        number = F.when(~F.col("none"), F.xxhash64("id", "digest", F.lit(seed)))
+        what = F.struct(F.col("row.doc_id").alias("doc_id"), *KEYS)
+        both = rows.where("NOT none").select(number.alias("number"), what.alias("what")).groupBy("number")
+        names = written(both.agg(F.min("what").alias("what"), F.max("what").alias("other")), "numbers")
+        if names.where("what <> other").isEmpty():
+            return rows.select(number.alias("number"), F.col("row.text").alias("text")), names.select("number", "what.*")
+        drop_written(names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +70,23 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; a row repeated with its id stays once."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts the row with the largest id stays; a row repeated with its id stays once. Rows
+    that share an id, or have none, but differ in their texts are judged apart."""
+    kept = exact_dedup(docs).where("kept")
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return _only(docs, kept.select(F.col("doc_id").isNull().alias("none"), id_.alias("id"), F.col("text_sha256").alias("digest")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays."""
-    groups = jaccard_components(docs)
-    return _only(docs, groups.where("doc_id <=> component_id"))
+    """Of each group of similar documents the one with the smallest id stays, and of its texts, should
+    it have several in the group, the one with the least digest. Groups are made of rows: texts that
+    share an id are linked only by being similar. A row without an id is similar to none and stays."""
+    texts, names = _numbered(docs)
+    groups = jaccard_components(texts, id_col="number").join(names, "number")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", *KEYS)).alias("first"))
+    kept = first.select(*(F.col(f"first.{k}").alias(k) for k in KEYS))
+    without = _keyed(docs).where("none").select(*KEYS)
+    return _only(docs, kept.unionByName(without))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,29 @@ def test_stages_against_loops(spark, folder):
     assert {r.doc_id for r in pieces} == set(kept)
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    """Null ids and repeated ids with different texts: only rows equal in id and text are one."""
+    r = random.Random(9)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = f"{a} end"
+    rows = [(None, a), (None, b), (None, b), (None, None), (1, c), (2, c), (1, d), (3, e), (3, e), (3, f), (4, c), (5, None), (5, "")]
+    kind = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(*x, str(k)) for k, x in enumerate(rows)], kind).repartition(4)
+    seen = lambda x: sorted(((r.doc_id, r.text) for r in x.collect()), key=str)
+    got = corpus_pipeline.drop_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert seen(got) == sorted([(None, a), (None, b), (1, d), (3, e), (3, f), (4, c), (5, None)], key=str)
+    # 7's first text is similar to 6, its second to none; 8's texts are similar to each other alone
+    rows = [(6, a), (7, near), (7, b), (8, c), (8, f"{c} end"), (9, d), (9, d), (None, a), (None, e), (None, e), (10, ""), (10, f)]
+    docs = spark.createDataFrame([(*x, str(k)) for k, x in enumerate(rows)], kind).repartition(4)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    found = [x for x in seen(got) if x[0] != 8]
+    assert found == sorted([(6, a), (7, b), (9, d), (None, a), (None, e), (10, ""), (10, f)], key=str)
+    assert [r.text in (c, f"{c} end") for r in got.where("doc_id = 8").collect()] == [True]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_its_sql(spark, name):
     same(queries.QUERIES[name](spark, SF), connected(SF), queries.ORACLE_SQL[name])
