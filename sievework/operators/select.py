@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +65,9 @@ def best_n(
     )
 
 
-def unlikeness(df: DataFrame, id_col: str, histogram: str, groups: list[str], digits: int = 9, side: int = 2048) -> DataFrame:
-    """(id, apart): the sum of the histogram distances to all others of the group.
+def unlikeness(df: DataFrame, id_col: str, histogram: str, groups: list[str] = [], digits: int = 9, side: int = 2048) -> DataFrame:  # noqa: B006
+    """(id, apart): the sum of the histogram distances to all others of the group, without groups to
+    all others of the table.
 
     Groups are cut into blocks of a bounded number of rows; a task compares two blocks with matrix
     products and gives one partial sum a row, so pairs are never rows. Sums are rounded, so that
@@ -75,11 +78,11 @@ def unlikeness(df: DataFrame, id_col: str, histogram: str, groups: list[str], di
 
     rows = df.select(F.col(id_col).alias("id"), F.col(histogram).cast("array<double>").alias("hist"), *groups)
     counts = rows.groupBy(*groups).agg(F.ceil(F.count("*") / side).cast("int").alias("parts"))
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
-    both = same[0]
-    for one in same[1:]:
-        both = both & one
-    met = rows.alias("a").join(counts.alias("b"), both).select("a.*", "b.parts")
+    if groups:
+        both = reduce(lambda x, y: x & y, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups])
+        met = rows.alias("a").join(counts.alias("b"), both).select("a.*", "b.parts")
+    else:
+        met = rows.crossJoin(F.broadcast(counts))  # a single row
     met = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
@@ -90,13 +93,15 @@ def unlikeness(df: DataFrame, id_col: str, histogram: str, groups: list[str], di
         sums = hist.sum(1)
         unit = np.sqrt(np.divide(hist, sums[:, None], out=np.zeros_like(hist), where=sums[:, None] > 0))
         unit[sums <= 0] = np.nan  # an empty histogram is at no distance from any
-        apart = np.sqrt(np.maximum(0.0, 1.0 - np.nan_to_num(unit @ unit.T, nan=1.0)))
-        np.fill_diagonal(apart, 0.0)
-        i, j = block["i"].iloc[0], block["j"].iloc[0]
-        if i != j:
-            part = block["part"].to_numpy()
-            apart = np.where(part[:, None] != part[None], apart, 0.0)
-        return pd.DataFrame({"id": block["id"], "apart": apart.sum(1)})
+        part, i, j = block["part"].to_numpy(), block["i"].iloc[0], block["j"].iloc[0]
+        one, two = unit[part == i], unit[part == j]
+        apart = np.sqrt(np.maximum(0.0, 1.0 - np.nan_to_num(one @ two.T, nan=1.0)))
+        if i == j:
+            np.fill_diagonal(apart, 0.0)
+        found = np.empty(len(block))
+        found[part == j] = apart.sum(0)
+        found[part == i] = apart.sum(1)
+        return pd.DataFrame({"id": block["id"], "apart": found})
 
     kind = rows.schema["id"].dataType.simpleString()
     partial = met.groupBy(*keys).applyInPandas(compare, f"id {kind}, apart double")

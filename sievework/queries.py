@@ -119,6 +119,13 @@ def o7_hist_dissimilarity(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), F.round("apart", 6).alias("apart"))
 
 
+@query("o7_hist_dissimilarity_all")
+def o7_hist_dissimilarity_all(spark, sf_dir):
+    """The reference's score: over the whole table. The SQL above has it inside a label."""
+    found = select.unlikeness(_histograms(spark, sf_dir), "vec_id", "hist")
+    return found.select(F.col("id").alias("vec_id"), F.round("apart", 6).alias("apart"))
+
+
 @query("o6_hist_chain")
 def o6_hist_chain(spark, sf_dir):
     return chain.greedy_chain(_histograms(spark, sf_dir), "vec_id", "hist")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievework import queries
 from sievework.functions import arrays, geometry, options, paths
 from sievework.operators import chain, filters, joins, rank, select, windows
 from sievework.plans import curate
@@ -129,6 +130,28 @@ def test_unlikeness_in_blocks(spark):
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
 
 
+def test_unlikeness_of_a_whole_table(spark, tmp_path):
+    r = np.random.default_rng(7)
+    hists = r.uniform(-1, 1, (50, 8))
+    hists[[3, 4]], hists[6] = hists[5], 0
+    rows = [(k, h.tolist(), None if k % 5 == 0 else k % 3) for k, h in enumerate(hists)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    h = np.abs(hists)
+
+    def apart(a, b):
+        scale = math.sqrt(a.sum() * b.sum())
+        return math.sqrt(max(0, 1 - np.sqrt(a * b).sum() / scale)) if scale else 0
+
+    want = {k: sum(apart(h[k], h[j]) for j in range(50) if j != k) for k in range(50)}
+    for side in (2048, 7):
+        got = {x.id: x.apart for x in select.unlikeness(df.withColumn("h", F.transform("embedding", F.abs)), "vec_id", "h", side=side).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x.vec_id: x.apart for x in queries.QUERIES["o7_hist_dissimilarity_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+    assert select.unlikeness(df.where("false"), "vec_id", "embedding").count() == 0
+
+
 @pytest.mark.parametrize("metric", ["l1", "l2", "bhattacharyya"])
 def test_chain_goes_to_the_closest(metric):
     v = np.random.default_rng(6).uniform(0, 1, (40, 5))
