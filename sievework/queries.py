@@ -133,7 +133,7 @@ def o6_hist_chain(spark, sf_dir):
 
 @query("o12_absdiff_chain")
 def o12_absdiff_chain(spark, sf_dir):
-    return chain.greedy_chain(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "l1", group="label")
+    return chain.greedy_chain(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "l1", most=None)
 
 
 _YAW, _PITCH = "embedding[1]::DOUBLE * 4", "embedding[2]::DOUBLE * 5"

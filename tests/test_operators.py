@@ -169,6 +169,32 @@ def test_chain_chunks(spark):
     assert chain.chunk_size(100_000) == 20_000 and chain.chunk_size(400_000) == int(400_000 / 11.9)
 
 
+def test_chunks_are_the_references(spark):
+    assert chain.chunk_size(259_999) == 20_000 and chain.chunk_size(260_000) == int(260_000 / 11.9)
+    df = spark.createDataFrame([(k, [float(k)]) for k in range(45)], "id int, v array<double>")
+    for n in (38, 39, 45):  # of 3 rows: 12 whole chunks at most
+        size = chain.chunk_size(n, 3)
+        got = chain.greedy_chain(df.where(f"id < {n}"), "id", "v", "l2", most=3).collect()
+        assert {r.id: (r.chunk, r.position) for r in got} == {k: (k // size, k % size) for k in range(n)}
+
+
+@pytest.mark.parametrize("similar", [True, False])
+def test_absdiff_chain_of_a_whole_table(spark, tmp_path, monkeypatch, similar):
+    """All labels in one chain from the first id, also with many equal items."""
+    monkeypatch.setattr(chain, "AT_ONCE", 7)
+    v = np.random.default_rng(8).integers(0, 4, (60, 3)).astype(float)
+    want, rest = [0], list(range(1, 60))
+    while rest:
+        apart = [np.abs(v[want[-1]] - v[k]).sum() for k in rest]
+        want.append(rest.pop(apart.index((min if similar else max)(apart))))
+    assert chain.chain(v, "l1", similar) == want
+    if similar:
+        rows = [(k, x.tolist(), k % 4) for k, x in enumerate(v)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+        got = queries.QUERIES["o12_absdiff_chain"](spark, str(tmp_path)).orderBy("chunk", "position").collect()
+        assert [r.vec_id for r in got] == want and {r.chunk for r in got} == {0}
+
+
 def test_suppression(spark):
     rows = [(1, 0.0, 0.0, 9.0, 9.0, 0.9, 0), (1, 1.0, 1.0, 9.0, 9.0, 0.8, 1), (1, 30.0, 30.0, 39.0, 39.0, 0.7, 2), (1, 60.0, 60.0, 69.0, 69.0, 0.2, 3), (2, 0.0, 0.0, 9.0, 9.0, 0.6, 4)]
     df = spark.createDataFrame(rows, "f int, l double, t double, r double, b double, s double, k int")
