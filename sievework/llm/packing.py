@@ -9,10 +9,11 @@ as the counts allow. Everything happens in the one pass that tokenises, without
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,15 +144,19 @@ class Packer:
 
 
 @functools.cache
-def _coder(path: str) -> PieceCoder:
-    """The tokenizer's ids of text pieces. Its byte-level vocabulary is read as merge ranks, which is
+def _coder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+    """The tokenizer's ids of texts. Texts are cut at the file's added tokens, each of which is one id,
+    the longest where several begin; what is between them is coded apart. The byte-level vocabulary is read as merge ranks, which is
     the same thing where ids ascend with the merges (checked), and coded by a faster library."""
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, added = whole["model"], {x["content"]: x["id"] for x in whole.get("added_tokens") or []}
+    if any(x.get(k) for x in whole.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token of this vocabulary takes in what is around it")
     sign = {chr(b): b for b in PRINTABLE}
     sign |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
     raw = {bytes(map(sign.__getitem__, x)): k for x, k in model["vocab"].items() if set(x) <= sign.keys()}
@@ -160,7 +165,21 @@ def _coder(path: str) -> PieceCoder:
         raise ValueError("the ids of this vocabulary do not follow its merges")
     ranks = {x: k for x, k in raw.items() if k < 256 + len(made)}
     piece = tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    return PieceCoder(lambda found: [array("I", piece(x.encode())).tobytes() for x in found])
+    coder = PieceCoder(lambda found: [array("I", piece(x.encode())).tobytes() for x in found])
+    if not added:
+        return coder
+    cuts = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")")
+
+    def code(texts: list[str]) -> Iterator[np.ndarray]:
+        parts = [cuts.split(x) for x in texts]
+        plain = coder([x for own in parts for x in own[::2]])
+        for own in parts:
+            ids = [next(plain)]
+            for token in own[1::2]:
+                ids += [np.array([added[token]], "<u4"), next(plain)]
+            yield np.concatenate(ids) if len(ids) > 1 else ids[0]
+
+    return code
 
 
 def pack(
@@ -173,7 +192,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids are the tokenizer's (no special tokens) and end_id; a null or empty text has
+    A document's ids are the tokenizer's (none added around a text; one id for each of the file's added
+    tokens that a text holds) and end_id; a null or empty text has
     end_id alone. Each id lies in exactly one piece; each sequence is filled from 0 without a gap
     and holds capacity ids or a power of two of them. A repeated row is packed each time, a null id
     stays null, an empty table gives no rows, and other columns are not read. Sequence numbers hold

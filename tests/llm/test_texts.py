@@ -203,6 +203,21 @@ def test_packing(spark):
     assert packing.pack(empty(spark), BPE).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    """Against the tokenizer with its default setting."""
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end} x", f" it's {end} 's{end}", "<|endoftext|", f"<|{end}\n  \n{end}  y", "plain words", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(BPE)
+    want = [[*tokenizer.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert want[0] == [64, 50256, 65, 1]
+    coded = packing._coder(BPE)
+    assert [[*x.tolist(), 1] for x in coded(texts)] == want
+    for r in packing.pack(docs, BPE).collect():
+        part = want[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+
+
 def test_fullest_windows():
     from itertools import product
 
