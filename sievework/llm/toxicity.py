@@ -23,6 +23,8 @@ WINDOW, STEP = 16, 8
 EDGES = ".,;:!?\"'()[]{}|-–—…«»“”„¡¿*#$%&"
 OPEN, CLOSE = 2, 3
 KEPT_WORDS = 400_000
+#: The score of every text when there is nothing to learn from: below any threshold for rejecting.
+UNTRAINED = 0.25
 
 
 def words_of(text: str) -> list[str]:
@@ -89,7 +91,10 @@ class Toxicity:
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 24, seed: int = 7) -> Toxicity:
     """Fits vectors and softmax together. The first rounds take windows at random, the others the
-    window that the model finds most toxic at the time."""
+    window that the model finds most toxic at the time.
+
+    With labels of one class alone every text scores as the share of that class: clean ones keep all,
+    toxic ones reject all. Without labels every text scores UNTRAINED, so that none is rejected."""
     random = np.random.default_rng(seed)
     split = [words_of(x) for x in texts]
     labels = np.array([y for x, y in zip(split, labels, strict=True) if x], np.int64)
@@ -98,7 +103,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 24, seed: int = 7)
     soft = random.normal(0, 0.1, (DIMENSIONS, 2))
     bias = np.zeros(2)
     if len(set(labels.tolist())) < 2:
-        share = (labels.sum() + 1.0) / (len(labels) + 2.0)
+        share = (labels.sum() + 1.0) / (len(labels) + 2.0) if len(labels) else UNTRAINED
         return Toxicity(np.zeros(1 << BUCKETS_BITS), float(np.log(share / (1 - share))))
     known = {w: k for k, w in enumerate(dict.fromkeys(w for x in split for w in x))}
     buckets, counts = subwords(list(known))
@@ -187,6 +192,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", tex
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 10_000) -> Toxicity:
-    """Learns from at most per_class labelled rows of each class outside the held-out fold."""
+    """Learns from at most per_class labelled rows of each class outside the held-out fold. If there
+    are none, as with an empty table of labels, no text is taken for toxic (UNTRAINED)."""
     texts, marks = labelled_sample(docs, labels, "toxic", per_class, longest)
     return train(texts, marks)

@@ -1,6 +1,7 @@
 """The pipeline against a version in plain loops, and the registered queries."""
 
 import random
+import zlib
 
 import pytest
 
@@ -65,6 +66,18 @@ def test_stages_against_loops(spark, folder):
     assert {r.doc_id for r in pieces} == set(kept)
 
 
+def test_no_usable_labels_keep_all(spark, tmp_path):
+    """An empty table of labels, labels of other documents, and those of held-out or long texts alone."""
+    texts = ["some words", "you idiot", None, "word " * 3000]
+    fold = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 0)
+    long_ = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5)
+    docs = spark.createDataFrame(list(zip([fold, 1001, 1002, long_], texts, strict=True)), "doc_id long, text string")
+    for k, labels in enumerate(([], [(500, 1, 0), (501, 1, 1)], [(fold, 1, 1)], [(long_, 1, 1)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        got = corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{k}")
+        assert {r.doc_id for r in got.collect()} == {fold, 1001, 1002, long_}
+
+
 def test_rows_that_share_an_id_are_judged_apart(spark):
     """Null ids and repeated ids with different texts: only rows equal in id and text are one."""
     r = random.Random(9)
