@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from bisect import bisect_left
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,8 +59,8 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: Nesting beyond this is flattened, and cells wider than this are not padded to.
-DEEPEST, WIDEST = 150, 80
+#: Cells wider than this are not padded to.
+WIDEST = 80
 GAP = "  "
 
 
@@ -85,35 +88,47 @@ def attributes_of(raw: str) -> dict[str, str]:
 
 
 class Builder:
+    """The open elements are a stack; places holds the positions of each tag in it, so that a tag
+    costs the same however deep it is."""
+
     def __init__(self):
         self.root = Node("html")
-        self.stack = [self.root]
+        self.stack, self.deepest = [self.root], 1
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def _cut(self, at: int) -> None:
+        """Closes the element at this position and all inside it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def _last(self, tags: set[str]) -> int:
+        return max((self.places[x][-1] for x in tags if self.places.get(x)), default=0)
 
     def _close(self, tags: set[str], stops: set[str]) -> None:
         """Closes the innermost open element of these, and all inside it; none beyond a stop."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in stops:
-                return
+        at = self._last(tags)
+        if at and at >= self._last(stops):
+            self._cut(at)
 
     def _close_all(self, tags: set[str], stops: set[str]) -> None:
-        for k in range(1, len(self.stack)):
-            within = {x.tag for x in self.stack[k + 1 :]}
-            if self.stack[k].tag in tags and not within & stops:
-                del self.stack[k:]
-                return
+        """Closes the outermost open element of these that has no stop inside it."""
+        stop, found = self._last(stops), []
+        for own in (self.places[x] for x in tags if self.places.get(x)):
+            found += own[bisect_left(own, stop) :][:1]
+        if found:
+            self._cut(min(found))
 
     def _push(self, node: Node, keep: bool = True) -> None:
         self.stack[-1].children.append(node)
-        if keep and len(self.stack) < DEEPEST:
+        if keep:
+            self.places[node.tag].append(len(self.stack))
             self.stack.append(node)
+            self.deepest = max(self.deepest, len(self.stack))
 
     def text(self, text: str) -> None:
         if text:
             if self.stack[-1].tag == "head" and not text.isspace():
-                self.stack.pop()
+                self._cut(len(self.stack) - 1)
             self.stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
     def start(self, tag: str, raw: str) -> None:
@@ -123,7 +138,7 @@ class Builder:
                 self.root.attributes.setdefault(name, value)
             return
         if self.stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if tag in ENDS_P:
             self._close({"p"}, KEEPS_P)
         if tag in CLOSES:
@@ -137,14 +152,15 @@ class Builder:
             self._push(Node("br"), False)
         elif tag in ("html", "body"):
             return
-        elif tag == "p" and not any(x.tag == "p" for x in self.stack):
+        elif tag == "p" and not self.places.get("p"):
             self._push(Node("p"), False)
         else:
             stops = set() if tag in ("table", "td", "th", "tr") else {"table", "td", "th"} - {tag}
             self._close({tag}, stops)
 
 
-def tree(page: str) -> Node:
+def tree(page: str) -> tuple[Node, int]:
+    """The root, and how deep elements are nested."""
     builder, at = Builder(), 0
     while True:
         found = MARKUP.search(page, at)
@@ -152,7 +168,7 @@ def tree(page: str) -> Node:
             tail = page[at:]
             cut = re.search(r"</?[a-zA-Z]", tail)  # a tag that never ends is no text
             builder.text(tail[: cut.start()] if cut else tail)
-            return builder.root
+            return builder.root, builder.deepest
         builder.text(page[at : found.start()])
         at = found.end()
         if found[2] is None:
@@ -360,7 +376,9 @@ def _table(node: Node, flow: Flow, depth: int) -> None:
 
 def visible_text(page: str) -> str:
     flow = Flow()
-    root = tree(page.replace("\0", ""))
+    root, deepest = tree(page.replace("\0", ""))
+    # an element takes at most three calls, which Python keeps off the machine's stack
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * deepest + 1000))
     if not root.hidden():
         render(root, flow)
     lines = flow.finished()
@@ -374,8 +392,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per input row: id, text.
 
     Null, empty and tag-only pages give an empty text. Repeated rows give the same text; a null id
-    stays null; an empty table gives no rows; other columns are not read. Elements nested deeper
-    than DEEPEST keep their text but not their nesting.
+    stays null; an empty table gives no rows; other columns are not read. Nesting may be
+    of any depth.
     """
 
     def run(batches):

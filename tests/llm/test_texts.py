@@ -262,6 +262,19 @@ def test_token_counts(spark):
     assert got == sorted(want) and token_counts.count_tokens(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("opening", ["<div>", "<font>", "<a><b>", "<ul><li>", "<table><tr><td>", "<blockquote>"])
+def test_visibility_in_deep_pages(opening):
+    """What is hidden stays so at any depth, and ends close their own elements."""
+    within = "<script>var x = 1;</script><style>b {}</style><div style='display:none'>no<b>no</b></div><div>in</div>"
+    for many in (10, 200, 3000):
+        tag = opening.rsplit("<", 1)[1][:-1]
+        text = html_text.visible_text(f"<div hidden>{opening * many}{within}{f'</{tag}>' * many}no</div>")
+        assert text == ""
+        lines = html_text.visible_text(opening * many + within).split()
+        assert lines[-1] == "in" and not {"no", "var", "b"} & set(lines)
+    assert html_text.visible_text("<div>" * 300 + "a" + "</div>" * 299 + "<p hidden>b" + "</div>c") == "a\nc"
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><h1>Head &amp; more</h1><p>One <b>two</b>three\n four<p hidden>no<p>five<br>six
     <ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul><table><tr><th>Name<th>Qty<tr><td>apple<td>10<tr><td>kiwi fruit<td>2</table>
