@@ -184,6 +184,8 @@ def rows_with_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text")
 def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score in 0 to 1.
 
+    A word written several times in a row counts once (words_of), in training and in scoring, so an
+    insult that is repeated scores as the same insult written once.
     Null and empty texts and texts of white space score as the model's bias says. Repeated rows
     score alike; a null id stays null; an empty table gives no rows; other columns are not read.
     """

@@ -179,6 +179,15 @@ def test_bpe_on_random_signs():
     assert [x.tolist() for x in bpe.coded(texts)] == [library.encode_ordinary(x) for x in texts]
 
 
+def test_toxicity_of_repeated_words(spark):
+    """Documented: repetitions in a row count once, wherever they are in the text."""
+    clean = [f"some kind words {k}" for k in range(40)]
+    model = toxicity.train(clean + [f"{x} you idiot" for x in clean], np.repeat([0, 1], 40))
+    texts = ["idiot", "idiot " * 500, "Idiot idiot", "some idiot words", "some some idiot idiot idiot words words", "some kind words", "words " * 500]
+    found = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert found[0] == found[1] == found[2] and found[3] == found[4] and found[3] > 0.5 > max(found[5], found[6])
+
+
 def test_packing(spark):
     docs = awkward(spark)
     tokenizer = Tokenizer.from_file(BPE)
