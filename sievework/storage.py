@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,37 +13,53 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables: spark.checkpoint.dir where the cluster names it.
 
-    Only where it is unset (single-machine tests) a local folder is made and set.
+    Only on a single machine (a local master, as in tests) may it be unset; a local folder is made
+    and set then. On a cluster executors would each write to their own disk, which is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         held = context._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="sievework-")
+        if held.isDefined():
+            folder = held.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="sievework-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df cut from its lineage: written as Parquet to the shared folder and read again.
+#: Spark's own setting that deletes a query's shuffle files as soon as the query has ended.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Spark deletes shuffle files once the driver's garbage collector has found their plans unused,
-    so it is asked to look: what led to a written table need not stay on disk beside it.
-    """
+
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df cut from its lineage: written as Parquet to the shared folder and read again. The shuffle
+    files that led to it are deleted with the write's end, as nothing reads them any more."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written() once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
