@@ -36,7 +36,8 @@ class Network:
 
 
 def laid_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes end to end, each padded to whole half-chunks plus one block; half-chunks of each."""
+    """The texts' bytes end to end, each padded to whole half-chunks, and one block of padding behind
+    them all; half-chunks of each."""
     unit = HALF * BLOCK
     halves = np.array([max(1, -(-len(x) // unit)) for x in raws], np.int64)
     sizes = halves * unit
@@ -47,24 +48,41 @@ def laid_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, halves
 
 
-def responses(net: Network, points: np.ndarray) -> np.ndarray:
-    """The filters' responses at each block."""
-    blocks = net.embedding[points].reshape(-1, BLOCK * EMBEDDED)
-    here, after = blocks @ net.filters[0], blocks @ net.filters[1]
-    return here[:-1] + after[1:] + net.offset
+def following(points: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """The block after each block of a layout. Behind a text's last block there is padding, not the
+    next text, so that a text's responses are its own."""
+    after = points.reshape(-1, BLOCK)[1:].copy()
+    after[np.cumsum(halves) * HALF - 1] = 256
+    return after
 
 
-def pooled(net: Network, points: np.ndarray, halves: np.ndarray):
-    """Chunk maxima (at least 0), the chunks of each text, and the half-chunk maxima."""
-    half = responses(net, points).reshape(-1, HALF, FILTERS).max(1)
+def responses(net: Network, here: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The filters' responses at blocks, with the block after each. Every byte value has a vector of
+    responses for each of the eight places, and those are added in a fixed order: unlike a matrix
+    product, the sum does not depend on how many blocks are worked on at once."""
+    kernels = np.concatenate(net.filters, 0).reshape(2 * BLOCK, EMBEDDED, FILTERS)
+    tables = net.embedding @ kernels  # (place, byte, filter)
+    total = tables[0][here[:, 0]] + net.offset
+    for k in range(1, 2 * BLOCK):
+        total += tables[k][here[:, k] if k < BLOCK else after[:, k - BLOCK]]
+    return total
+
+
+def _chunks(half: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk maxima (at least 0), each half-chunk with the next one of its text, and which have one."""
     chunk = np.maximum(half, 0)
-    ends = np.cumsum(halves)
     joined = np.ones(len(half), bool)
-    joined[ends - 1] = False  # a text's last half-chunk has no next one
+    joined[np.cumsum(halves) - 1] = False
     chunk[:-1][joined[:-1]] = np.maximum(chunk[:-1], half[1:])[joined[:-1]]
     return chunk, joined
 
 
+def pooled(net: Network, points: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_chunks of a layout."""
+    value = responses(net, points.reshape(-1, BLOCK)[:-1], following(points, halves))
+    return _chunks(value.reshape(-1, HALF, FILTERS).max(1), halves)
+
+
 def described(chunk: np.ndarray, halves: np.ndarray) -> np.ndarray:
     low = np.cumsum(halves) - halves
     mean = np.add.reduceat(chunk, low) / halves[:, None]
@@ -108,7 +126,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 4
 def backward(net: Network, raws: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
     """The gradients of the mean log loss."""
     points, halves = laid_out(raws)
-    value = responses(net, points).reshape(-1, HALF, FILTERS)
+    span, after = points.reshape(-1, BLOCK)[:-1], following(points, halves)
+    value = responses(net, span, after).reshape(-1, HALF, FILTERS)
     where = value.argmax(1)
     half = np.take_along_axis(value, where[:, None], 1)[:, 0]
     where = where + np.arange(len(half))[:, None] * HALF
@@ -129,8 +148,7 @@ def backward(net: Network, raws: list[bytes], labels: np.ndarray) -> list[np.nda
         ties = np.add.reduceat(best.astype(np.float32), low)[owner]
         change = change + best * back[:, k * FILTERS : (k + 1) * FILTERS][owner] / ties
     change = np.where(chunk > 0, change, 0).astype(np.float32)
-    span = points.reshape(-1, BLOCK)
-    seen = np.concatenate([span[where], span[where + 1]], 2)  # (chunk, filter, 8 bytes)
+    seen = np.concatenate([span[where], after[where]], 2)  # (chunk, filter, 8 bytes)
     inputs = net.embedding[seen].reshape(*where.shape, 2 * BLOCK * EMBEDDED)
     kernels = np.concatenate(net.filters, 0)  # (8 * EMBEDDED, FILTERS)
     to_kernels = np.einsum("cfi,cf->if", inputs, change)
@@ -147,7 +165,7 @@ def backward(net: Network, raws: list[bytes], labels: np.ndarray) -> list[np.nda
 
 
 def scores(texts: list[str], net: Network) -> np.ndarray:
-    """The chance of each text to be good. Long texts are taken in stretches that overlap as the
+    """The chance of each text to be good, a function of that text alone. Long texts are taken in stretches that overlap as the
     chunks do, so that memory stays bounded and nothing is left out."""
     raws = [x.encode("utf-8", "surrogatepass") for x in texts]
     out, low = np.empty(len(raws)), 0
@@ -157,7 +175,7 @@ def scores(texts: list[str], net: Network) -> np.ndarray:
             size += len(raws[high])
             high += 1
         features = _long(raws[low], net) if size > BYTES_AT_ONCE else _short(raws[low:high], net)
-        out[low:high] = probability(features @ net.weights.astype(np.float64) + net.bias)
+        out[low:high] = probability((features * net.weights.astype(np.float64)).sum(1) + net.bias)
         low = high
     return out
 
@@ -168,17 +186,14 @@ def _short(raws: list[bytes], net: Network) -> np.ndarray:
 
 
 def _long(raw: bytes, net: Network) -> np.ndarray:
-    unit = HALF * BLOCK
     points, halves = laid_out([raw])
-    stride = BYTES_AT_ONCE // unit * unit
+    span, after = points.reshape(-1, BLOCK)[:-1], following(points, halves)
+    stride = BYTES_AT_ONCE // (HALF * BLOCK) * HALF
     half = [
-        responses(net, points[at : at + stride + BLOCK]).reshape(-1, HALF, FILTERS).max(1)
-        for at in range(0, len(points) - BLOCK, stride)
+        responses(net, span[at : at + stride], after[at : at + stride]).reshape(-1, HALF, FILTERS).max(1)
+        for at in range(0, len(span), stride)
     ]
-    half = np.concatenate(half)
-    chunk = np.maximum(half, 0)
-    chunk[:-1] = np.maximum(chunk[:-1], half[1:])
-    return described(chunk, halves)
+    return described(_chunks(np.concatenate(half), halves)[0], halves)
 
 
 def rows_with_quality(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -198,6 +213,8 @@ def score_quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_co
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, longest: int = 10_000) -> Network:
-    """Learns from at most per_class labelled rows of each class outside the held-out fold."""
+    """Learns from at most per_class labelled rows of each class outside the held-out fold. Without any,
+    or with one class alone, all texts score alike: a half, or nearly what that class says. Null ids and
+    labels other than 0 and 1 count for nothing; an id with several labels counts once, as 1 if any is."""
     texts, marks = labelled_sample(docs, labels, "quality", per_class, longest)
     return train(texts, marks)

@@ -44,8 +44,8 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mix, found, owners = np.uint64(0x9E3779B97F4A7C15), [], []
     rolled = np.zeros(len(marked), np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        shifted = np.zeros(len(marked), np.uint64)
-        shifted[: len(marked) - n + 1] = marked[n - 1 :]
+        shifted, later = np.zeros(len(marked), np.uint64), marked[n - 1 :]
+        shifted[: len(later)] = later
         rolled = (rolled ^ shifted) * mix
         rolled ^= rolled >> np.uint64(29)
         if n in GRAMS:
@@ -153,7 +153,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 24, seed: int = 7)
 
 
 def scores(texts: list[str], model: Toxicity, cache: dict[str, float]) -> np.ndarray:
-    """The chance of each text to be toxic; a text without words has the bias alone."""
+    """The chance of each text to be toxic, a function of that text alone; one without words has the
+    bias alone."""
     split = [words_of(x) for x in texts]
     new = [w for w in dict.fromkeys(w for x in split for w in x) if w not in cache]
     if len(cache) + len(new) > KEPT_WORDS:
@@ -164,8 +165,9 @@ def scores(texts: list[str], model: Toxicity, cache: dict[str, float]) -> np.nda
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     logit = np.fromiter((cache[w] for x in split for w in x), np.float64, int(sizes.sum()))
     low, length, many = windows(sizes)
-    sums = np.append(0, np.cumsum(logit))
-    value = (sums[low + length] - sums[low]) / WINDOW
+    # each window is summed for itself, so that a score does not depend on the texts beside it
+    sums = np.add.reduceat(np.append(logit, 0), np.stack([low, low + length], 1).ravel())[::2] if len(low) else logit
+    value = np.where(length > 0, sums, 0) / WINDOW
     top = np.maximum.reduceat(value, np.cumsum(many) - many) + model.bias if len(sizes) else value
     return 1 / (1 + np.exp(-np.clip(top, -500, 500)))
 
@@ -195,6 +197,8 @@ def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", tex
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 10_000) -> Toxicity:
     """Learns from at most per_class labelled rows of each class outside the held-out fold. If there
-    are none, as with an empty table of labels, no text is taken for toxic (UNTRAINED)."""
+    are none, as with an empty table of labels, no text is taken for toxic (UNTRAINED); with one class
+    alone every text scores as that class says. Null ids and labels other than 0 and 1 count for
+    nothing; an id with several labels counts once, as 1 if any of them is."""
     texts, marks = labelled_sample(docs, labels, "toxic", per_class, longest)
     return train(texts, marks)

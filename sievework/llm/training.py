@@ -20,16 +20,20 @@ def labelled_sample(
 
     The held-out fold (crc32 of the id as text, a multiple of 5), null ids and labels, and texts of
     more than longest characters are left out, which bounds what reaches the driver at
-    2 * per_class * longest characters. Only id, text and the label are read. The chosen ids are at
-    most 2 * per_class rows, which is why they are broadcast.
+    2 * per_class * longest characters. An id with several labels has the greatest. The ids are drawn
+    from the labels of documents that exist and may be used, so that as many are learned from as are
+    stated; texts are read in the second pass, of the chosen ids alone, which are at most 2 * per_class
+    rows and are broadcast for that reason.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id")
     )
+    usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = docs.select("doc_id", text_of("text").alias("text")).where(F.length("text").between(1, longest))
+    usable = usable.join(rows.select("doc_id"), "doc_id", "left_semi")
     rank = F.xxhash64(F.col("doc_id"), F.lit(label))
     chosen = [usable.where(F.col("y") == y).orderBy(rank, "doc_id").limit(per_class) for y in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select("doc_id", text_of("text").alias("text")).where(F.length("text").between(1, longest))
+    ids = chosen[0].unionByName(chosen[1])
     found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow().sort_by(
         [("doc_id", "ascending"), ("text", "ascending")]
     )
