@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 from collections import deque
 
 import numpy as np
@@ -28,6 +29,8 @@ SUFFIX = "</w>"
 #: What a word of white-space-separated text is cut into before matching.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 KEPT_WORDS = 400_000
+#: Bytes up to which words go through the automaton side by side.
+LONGEST = 512
 
 
 class LongestMatch:
@@ -62,17 +65,39 @@ class LongestMatch:
         edges = [(a, sign, b) for a, own in enumerate(children) for sign, b in own.items()]
         self.next = PairTable(*np.array(edges, np.int32).reshape(-1, 3).T)
         self.fail, self.popped = np.array(fail), np.array(popped)
+        self.plain = children, fail, popped
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """How many pieces each word has; one, if it cannot be matched."""
         out = np.zeros(len(words), np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
-        for low in range(0, len(words), 8192):  # words of like length go together
-            some = order[low : low + 8192]
+        short = int(np.searchsorted(sizes[order], LONGEST, "right"))
+        for low in range(0, short, 8192):  # words of like length go together
+            some = order[low : min(low + 8192, short)]
             out[some] = self._rows([words[k] for k in some.tolist()], sizes[some])
+        for k in order[short:].tolist():
+            out[k] = self._one(words[k])
         return out
 
+    def _one(self, word: bytes) -> int:
+        """The same for a single word, sign by sign: a long word has no others to go with."""
+        children, fail, popped = self.plain
+        state = count = 0
+        for sign in (*word, END):
+            while sign not in children[state]:
+                if fail[state] == NOWHERE:
+                    return 1
+                count += popped[state]
+                state = fail[state]
+            state = children[state][sign]
+        while state:
+            if fail[state] == NOWHERE:
+                return 1
+            count += popped[state]
+            state = fail[state]
+        return count
+
     def _rows(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
         raw = np.append(np.frombuffer(b"".join(words), np.uint8), 0).astype(np.int32)
         offsets = np.cumsum(sizes) - sizes
@@ -133,12 +158,17 @@ def _learn(words: list[str], automaton: LongestMatch, cache: dict[str, int]) ->
         cache.update(zip(new, (sums[ends] - sums[ends - sizes]).tolist(), strict=True))
 
 
+def composed(text: str) -> str:
+    """The text in the normal form C, as the vocabulary has it."""
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
+
+
 def count_tokens(
     docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: id, n_words, n_tokens.
 
-    Lower-cased text is split at white space; each word is cut into runs of letters, single numbers
+    Composed (NFC), lower-cased text is split at white space; each word is cut into runs of letters, single numbers
     and runs of other signs; each of those counts as many tokens as greedy longest matching from the
     left takes pieces, the end of the run being part of the match. A run that the vocabulary cannot
     spell counts one. Null and empty texts count 0; repeated rows count alike; a null id stays null;
@@ -150,7 +180,7 @@ def count_tokens(
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                split = [x.lower().split() for x in some.column(1).to_pylist()]
+                split = [composed(x).lower().split() for x in some.column(1).to_pylist()]
                 _learn([w for words in split for w in words], automaton, cache)
                 totals = [sum(map(cache.__getitem__, words)) for words in split]
                 columns = [some.column(0), pa.array(map(len, split), pa.int64()), pa.array(totals, pa.int64())]
