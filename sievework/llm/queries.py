@@ -92,7 +92,36 @@ QUERIES = {
 #: The characters and control strings that op10's template escapes, as a regular expression.
 _RISKY = r"(\\|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|user\|>|<\|assistant\|>|<\|system\|>)"
 
+#: What both recursive queries end in: the least id that is reachable by symmetric links.
+_REACHED = """r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY 1)"""
+
 ORACLE_SQL = {
+    "op1_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id AS id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w
+        ),
+        n AS (SELECT w.id, count(s) AS n FROM w LEFT JOIN s ON w.id = s.id GROUP BY 1),
+        both_ AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM both_ JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        {_REACHED}
+        SELECT id AS doc_id, n AS n_shingles, component AS component_id FROM n JOIN c USING (id)
+    """,
+    "op7_embedding_dedup": f"""
+        WITH RECURSIVE n AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+        u AS (
+            SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM n
+            WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+        ),
+        l AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+        {_REACHED},
+        k AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component AS component_id, id = component AS kept FROM c LEFT JOIN k USING (id)
+    """,
     "op10_chat_format": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
