@@ -3,14 +3,15 @@
 A template is any function from a list of (role, text) turns to a string. Nothing is known of its
 marks: prefixes of 1, 2, ... turns are rendered, and where output k begins with output k - 1, the
 rest is turn k's span. Where it does not, the template rewrites history: the span is then what lies
-between the common head and tail of the two, and the conversation is flagged. Inside its span a
-turn's text is found by rendering the turn once more with a probe in the text's place.
+between the common head and tail of the two, and the conversation is flagged. Where a turn's text
+begins and ends in its span is told by the same conversation with short probes for texts, rendered in
+prefixes too: what surrounds the probe is looked for around the text. Where that is not found, the
+template looks at texts, and the turn is rendered once more with a probe in its text's place alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterable
 
@@ -36,24 +37,64 @@ Template = Callable[[list[tuple[str, str]]], str]
 
 def escape(text: str) -> str:
     """Puts a backslash before each backslash and each control string."""
+    if "<" not in text and "[" not in text and ESCAPE not in text:  # how each of them begins
+        return text
     return _RISKY.sub(lambda found: ESCAPE + found[0], text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return text if ESCAPE not in text else _ESCAPED.sub(r"\1", text)
+
+
+#: Characters of rendered turns that marked() keeps, so that a prefix is not escaped anew each time.
+KEPT_CHARACTERS = 4_000_000
+_kept: dict[tuple[str, str], str] = {}
+_kept_size = 0
+
+
+def _turn(role: str, text: str) -> str:
+    """A role's line breaks are escaped too, so that the first bare one ends it."""
+    global _kept_size
+    found = _kept.get((role, text))
+    if found is None:
+        found = f"{START}{escape(role).replace(BREAK, ESCAPE + BREAK)}{BREAK}{escape(text)}{STOP}{BREAK}"
+        if _kept_size + len(found) > KEPT_CHARACTERS:
+            _kept.clear()
+            _kept_size = 0
+        _kept[role, text] = found
+        _kept_size += len(found)
+    return found
 
 
 def marked(turns: Iterable[tuple[str, str]]) -> str:
-    """The template of the query: each turn between marks, its role on the first line.
+    """The template of the query: each turn between marks, its role on the first line."""
+    return "".join([_turn(role, text) for role, text in turns])
 
-    A role's line breaks are escaped too, so that the first bare one ends it.
-    """
-    role_of = lambda role: escape(role).replace(BREAK, ESCAPE + BREAK)
-    return "".join(f"{START}{role_of(role)}{BREAK}{escape(text)}{STOP}{BREAK}" for role, text in turns)
+
+def _common(a: str, b: str) -> int:
+    """How many signs at the start of two texts agree, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
-def common_head(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+def _grown(outputs: Iterable[str]) -> Iterable[tuple[str, int, int, bool]]:
+    """Of outputs of growing prefixes: each output, start and end of what it adds, and whether it
+    rewrote the one before."""
+    before = ""
+    for after in outputs:
+        start, end = len(before), len(after)
+        rewrote = not after.startswith(before)
+        if rewrote:
+            start = _common(before, after)
+            end -= _common(before[start:][::-1], after[start:][::-1])
+        yield after, start, end, rewrote
+        before = after
 
 
 def spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
@@ -63,41 +104,61 @@ def spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[t
     The positions are those of the turn in the output that first holds it; without rewriting they
     hold for the last output as well.
     """
-    before, found, rewrote = "", [], False
-    for k, (role, text) in enumerate(turns):
-        after = template(turns[: k + 1])
-        start, end = len(before), len(after)
-        if not after.startswith(before):
-            rewrote = True
-            start = common_head(before, after)
-            tail = common_head(before[start:][::-1], after[start:][::-1])
-            end -= tail
-        probe = PROBE
-        while probe in after:
-            probe += PROBE
-        probed = template([*turns[:k], (role, probe)])
-        low = probed.find(probe, common_head(before, probed))
-        if low < 0:  # the template leaves this text out
-            low = high = end
-        else:
-            high = low + len(after) - len(probed) + len(probe)
-        found.append((start, end, low, high))
-        before = after
-    return before, found, rewrote
+    probe = PROBE
+    whole = template(turns)
+    while probe in whole or any(probe in role or probe in text for role, text in turns):
+        probe += PROBE
+    probed = [(role, probe) for role, _ in turns]
+    real = _grown(template(turns[: k + 1]) for k in range(len(turns)))
+    short = _grown(template(probed[: k + 1]) for k in range(len(turns)))
+    found, rewrote, formatted = [], False, ""
+    for k, ((after, start, end, odd), (small, low, high, odd_too)) in enumerate(zip(real, short, strict=True)):
+        rewrote, formatted = rewrote or odd, after
+        at = small.find(probe, low, high)
+        head, tail = small[low:at], small[at + len(probe) : high]
+        text_start, text_end = start + len(head), end - len(tail)
+        plain = not odd and not odd_too and at >= 0 and text_start <= text_end
+        if not (plain and after.startswith(head, start) and after.startswith(tail, text_end)):
+            text_start, text_end = _alone(turns, k, after, end, probe, template)
+        found.append((start, end, text_start, text_end))
+    return formatted, found, rewrote
+
+
+def _alone(turns, k: int, after: str, end: int, probe: str, template: Template) -> tuple[int, int]:
+    """Start and end of turn k's text, from rendering it once more with a probe in its place, of the
+    text's own length where that is longer than the probe."""
+    probe += probe[0] * (len(turns[k][1]) - len(probe))
+    probed = template([*turns[:k], (turns[k][0], probe)])
+    low = probed.find(probe)
+    if low < 0:  # the template leaves this text out
+        return end, end
+    return low, low + len(after) - len(probed) + len(probe)
+
+
+def _bare(text: str, mark: str, at: int) -> int:
+    """Where the mark next stands without a backslash of its own before it."""
+    while True:
+        found = text.find(mark, at)
+        if found < 0:
+            raise ValueError(f"no {mark!r} after {at}")
+        escapes = found
+        while escapes > at and text[escapes - 1] == ESCAPE:
+            escapes -= 1
+        if (found - escapes) % 2 == 0:
+            return found
+        at = found + 1
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """The turns of a text made by marked()."""
     turns, at = [], 0
-    bare = re.compile(rf"(?:{re.escape(ESCAPE)}.|(?!{re.escape(BREAK)}).)*?{BREAK}", re.S)
-    stop = re.compile(rf"(?:{re.escape(ESCAPE)}.|[^\\])*?{re.escape(STOP + BREAK)}", re.S)
     while at < len(formatted):
         if not formatted.startswith(START, at):
             raise ValueError(f"no turn begins at {at}")
-        role = bare.match(formatted, at + len(START))
-        text = stop.match(formatted, role.end())
-        turns.append((unescape(role[0][: -len(BREAK)]), unescape(text[0][: -len(STOP + BREAK)])))
-        at = text.end()
+        role = _bare(formatted, BREAK, at + len(START))
+        text = _bare(formatted, STOP + BREAK, role + len(BREAK))
+        turns.append((unescape(formatted[at + len(START) : role]), unescape(formatted[role + len(BREAK) : text])))
+        at = text + len(STOP + BREAK)
     return turns
 
 
