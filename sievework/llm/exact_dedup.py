@@ -1,6 +1,7 @@
 """Exact deduplication as a tree-merge of sorted digest runs, in DataFrame operations alone.
 
-Every row's text becomes a digest. Rows are dealt to RUNS runs by a hash of their id, so that copies
+Every row's text becomes a digest, in one scan whose result is written: id, run, digest and check are
+all that is read from then on. Rows are dealt to RUNS runs by a hash of their id, so that copies
 of one text, however many, lie in all runs evenly. A run holds one entry for each digest: the
 identifier that stays and how many rows were merged into it. In each round the runs whose numbers
 agree but for their lowest bits meet (a binomial exchange of FAN runs), spread by digest over all
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 RUNS, FAN_BITS = 64, 3
 
@@ -58,6 +59,7 @@ def exact_dedup(
         F.struct(F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("second")).alias("check"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(RUNS)).cast("int").alias("run"),
     )
+    rows = written(rows, "digests")
     entries = rows.select(
         "run",
         "digest",
