@@ -191,7 +191,6 @@ def test_toxicity_of_repeated_words(spark):
 def test_packing(spark):
     docs = awkward(spark)
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     ids = {}
     for r in docs.collect():
         ids.setdefault(r.doc_id, []).append([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1])
@@ -381,3 +380,198 @@ def test_quality_gradient():
         down = loss()
         x[at] += 1e-5
         assert g[at] == pytest.approx((up - down) / 2e-5, rel=0.02)
+
+
+def test_scores_depend_on_the_text_alone(spark):
+    """Alone, together, in another order, and over other partitions: to the last bit."""
+    r, g = random.Random(4), np.random.default_rng(3)
+    texts = ["", "a", "ab c", "x" * 127, "x" * 128, "x" * 129, "é" * 64, " \n"] + [sample_text(r, r.randint(1, 400)) for _ in range(60)]
+    net = quality.Network(
+        g.normal(0, 0.5, (257, quality.EMBEDDED)).astype("f4"), g.normal(0, 0.25, (2, quality.BLOCK * quality.EMBEDDED, quality.FILTERS)).astype("f4"),
+        g.normal(0, 0.1, quality.FILTERS).astype("f4"), g.normal(0, 0.3, 3 * quality.FILTERS).astype("f4"), np.zeros(1, "f4"),
+    )
+    bad = toxicity.train([x for x in texts if x.strip()], np.arange(sum(bool(x.strip()) for x in texts)) % 2, epochs=6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for score, over in (
+        (lambda x: quality.scores(x, net), lambda d: quality.score_quality(d, net)),
+        (lambda x: toxicity.scores(x, bad, {}), lambda d: toxicity.score_toxicity(d, bad)),
+    ):
+        alone = [float(score([x])[0]) for x in texts]
+        assert score(texts).tolist() == alone and score(texts[::-1]).tolist() == alone[::-1]
+        for parts in (1, 7):
+            got = {x.doc_id: x.score for x in over(docs.repartition(parts)).collect()}
+            assert [got[k] for k in range(len(texts))] == alone
+
+
+def test_quality_without_usable_labels(spark):
+    texts = [sample_text(random.Random(k), 50) for k in range(6)]
+    docs = spark.createDataFrame([(k + 1, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    kind = "doc_id long, quality int, toxic int"
+    for rows, low, high in (([], 0.5, 0.5), ([(None, 1, 1), (2, None, None), (3, 7, 7), (99, 1, 1)], 0.5, 0.5), ([(k, 1, 1) for k in range(1, 7)], 0.5, 1.0)):
+        labels = spark.createDataFrame(rows, kind)
+        found = {x.score for x in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()}
+        assert len(found) == 1 and low <= found.pop() <= high
+        texts_, marks = toxicity.labelled_sample(docs, labels, "toxic", 10, 10_000)
+        assert len(texts_) == len(marks) <= len(rows)
+    twice = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 0, 0), (2, 0, 0)], kind)
+    assert toxicity.labelled_sample(docs, twice, "quality", 10, 10_000)[1].tolist() == [1, 0]
+
+
+def test_texts_in_templates_that_look_at_them():
+    """Texts are found where what surrounds them depends on texts, and where a text is left out."""
+    r = random.Random(2)
+    sized = lambda turns: "".join(f"{role}({len(text)}):{text};" for role, text in turns)
+    silent = lambda turns: "".join("#" if text == "skip" else f"<{text}>" for _, text in turns)
+    for template in (sized, silent, chat.marked):
+        for _ in range(60):
+            turns = [("u", r.choice(["skip", "", "a(b", ";", chat.PROBE, chat.PROBE * 2, "x" * 50, "12):"])) for _ in range(r.randint(1, 12))]
+            text, found, rewrote = chat.spans(turns, template)
+            assert not rewrote and text == template(turns)
+            for (_, own), (_, _, low, high) in zip(turns, found, strict=True):
+                assert text[low:high] == own or (template is silent and own == "skip")
+
+
+def test_long_conversations_and_texts(spark):
+    many = [("user" if k % 2 else "assistant", f"turn {k} \\ <s>") for k in range(3000)]
+    long = [("user", "[INST] word \n" * 100_000), ("assistant", "\\" * 100_001)]
+    for turns in (many, long):
+        text, found, rewrote = chat.spans(turns, chat.marked)
+        assert not rewrote and chat.read_back(text) == turns
+        assert [chat.unescape(text[c:d]) for _, _, c, d in found] == [x for _, x in turns]
+    rows = [(1, k, role, text) for k, (role, text) in enumerate(many)] + [(2, k, *x) for k, x in enumerate(long)]
+    got = {x.conv_id: x for x in chat.digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv, turns in ((1, many), (2, long)):
+        loss = "".join(text for role, text in turns if role == "assistant")
+        assert (got[conv].n_turns, got[conv].loss_chars) == (len(turns), len(loss))
+        assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_token_counts_against_greedy_on_the_vocabulary(spark):
+    """Every word by greedy longest matching over the vocabulary's pieces, without the automaton."""
+    import json
+    import time
+    import unicodedata
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    sign = {chr(b): b for b in packing.PRINTABLE} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in packing.PRINTABLE)}
+    pieces = set()
+    for piece in json.load(open(path, encoding="utf-8"))["model"]["vocab"]:
+        bare = piece.removesuffix("</w>")
+        if bare and set(bare) <= sign.keys():
+            pieces.add((*map(sign.get, bare), *[token_counts.END] * (bare != piece)))
+
+    def near(word):
+        at, n, word = 0, 0, (*word, token_counts.END)
+        while at < len(word):
+            end = next((e for e in range(min(len(word), at + 130), at, -1) if word[at:e] in pieces), None)
+            if end is None:
+                return 1
+            at, n = end, n + 1
+        return n
+
+    r = random.Random(7)
+    texts = [sample_text(r, 40), "Don't re-read naïve CAFÉ café ½ 12345 ﬁn", "中文字 русский עברית 😀😀", "x" * 700, "ab" * 300 + " é" * 300, None, ""]
+    texts += ["".join(r.choices("abcdeéñ中’'0 .-́", k=r.randint(0, 60))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_tokens) for x in token_counts.count_tokens(docs, path).collect()}
+    for k, text in enumerate(texts):
+        words = unicodedata.normalize("NFC", text or "").lower().split()
+        assert got[k] == (len(words), sum(near(p.encode()) for w in words for p in token_counts.PARTS.findall(w)))
+    automaton, began = token_counts.loaded(path), time.time()
+    assert automaton.counts([b"abcdefgh" * 125_000])[0] > 0 and time.time() - began < 5
+
+
+def test_clashing_digests_stop_the_job(spark):
+    """Two texts of one digest differ in length or second hash: an error, not a lost document."""
+    from pyspark.sql import functions as F
+
+    from sievework.llm.exact_dedup import _merge
+
+    rows = spark.createDataFrame([(0, b"d", 1, 1, 5), (0, b"d", 2, 1, 6)], "run int, digest binary, top long, n long, bytes int")
+    rows = rows.withColumn("low", F.struct("bytes")).withColumn("high", F.struct("bytes"))
+    with pytest.raises(Exception, match="two texts share a digest"):
+        _merge(rows, ["run", "digest"]).collect()
+    assert _merge(rows.where("bytes = 5"), ["run", "digest"]).count() == 1
+
+
+SHOWN = [
+    ("<p title=don't>text</p><p>it's</p>tail", "text\n\nit's\n\ntail"),
+    ("<p title = 'a>b' class=\"x>y\" data-q=\">\">text<br/>more</p>", "text\nmore"),
+    ("a<b c=d/>e</b>f <1 < 2 <", "aef <1 < 2 <"),
+    ("a<!-- x > -- y -->b<!-->c<!--->d<!doctype html>e<?php f ?>g</ x>h<!-- never", "abcdegh"),
+    ("a<p title='never>b</p>c", "a"),
+    ("a</p  class=x>b<br>c</br>d", "a\n\nb\nc\nd"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>after", "yes\nafter"),
+    ("<div style='display:none'>no <b style='visibility:visible'>no</b></div>after", "after"),
+    ("<style>.a, #i {display:none} b.c{visibility:hidden} p {color:red}</style><i class='x a'>no</i><i id=i>no</i><b class=c>no</b><b>yes</b>", "yes"),
+    ("<style>@media print {u {display:none}} @media screen{s{display:none}} /* i{display:none} */</style><u>yes</u><s>no</s><i>!</i>", "yes!"),
+    ("<style media=print>u {display:none}</style><u>yes</u>", "yes"),
+    ("<style>.a{display:none} .b{display:block}</style><i class='a b'>yes</i><i class=a style='display:inline'>too</i>", "yestoo"),
+    ("<style>.a{display:none!important}</style><i class=a style='display:inline'>no</i><p hidden>no<p hidden style='display:block'>yes", "yes"),
+    ("<style>div p{display:none} a:hover{display:none}</style><div><p>yes</p><a>yes</a></div>", "yes\n\nyes"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0>a<td rowspan=2>bb<td>c<tr><td>d<tr><td>e<td>f</table>", "a  bb  c\n       d\n   e   f"),
+    ("<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>y</table>", "wide one  x\na  b  y"),
+    ("<table><tbody><tr><td rowspan=5>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tfoot><tr><td>foot<tbody><tr><td>body<caption>cap</caption></table>", "cap\nbody\nfoot"),
+    (f"<table><tr><td>{'w' * 200}<td>x<tr><td>a<td>y</table>", f"{'w' * 200}  x\n{'a':200}  y"),
+    ("<ul><li>a<ul><li>b<p>c</p></ul><li hidden>no<li>d</ul><ol start=9><li>x<li value=3>y<li>z</ol>", "- a\n  - b\n\n    c\n\n- d\n\n9. x\n3. y\n4. z"),
+    ("<blockquote>a<dl><dt>t<dd>d</dl></blockquote><pre>\n x\n  y</pre>z", "  a\n\n  t\n      d\n\n x\n  y\n\nz"),
+    ("<textarea>\n<b>a</b>  b</textarea><select><option>o<option>p</select><img alt=pic><input value=v type=submit><input type=hidden value=no>", None),
+    ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details><dialog>no</dialog>", "s\nt\nyes"),
+    ("<plaintext>a<b>c", "a<b>c"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), SHOWN)
+def test_what_pages_show(page, want):
+    got = html_text.visible_text(page)
+    if want is None:
+        assert "<b>a</b>  b" in got and "o\np" in got and "pic" in got and "v" in got and "no" not in got
+    else:
+        assert got.replace(" \n", "\n") == want
+
+
+def brute_text(page):
+    """The words of pages without tables, lists or hidden parts: what is outside tags, by single signs."""
+    out, inside, quote = [], False, ""
+    for sign in page:
+        if not inside:
+            inside = sign == "<"
+            out.append(" " if inside else sign)
+        elif quote:
+            quote = "" if sign == quote else quote
+        elif sign in "\"'":
+            quote = sign
+        elif sign == ">":
+            inside = False
+    return "".join(out).split()
+
+
+def test_all_words_of_plain_pages_show():
+    r = random.Random(3)
+    for _ in range(300):
+        bits = ["<div class='a>b'>", "</div>", "<p title=\"x y\">", "</p>", "<h1>", "</h1>", "<span>", "</span>", "<section>", "<blockquote>", "</blockquote>", "<dd>"]
+        page = " ".join(r.choice(bits) if r.random() < 0.5 else f"word{k}" for k in range(r.randint(0, 40)))
+        assert html_text.visible_text(page).split() == brute_text(page)
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<!-- ", "<a b='c' ", "</a ", "<style>/*", "<title>", "&amp", "<b>", "<table><tr><td>", "<ul><li>x", "<blockquote>x", "<style>a{b:c;", "<td rowspan=9 colspan=9>x", "< ", "<p hidden>"])
+def test_hostile_pages_take_linear_time(piece):
+    """A quarter and a whole megabyte (tables inside tables: less), with room for a slow machine."""
+    import time
+
+    small = 16 if piece.startswith("<table") else 1
+    times = []
+    for size in (250_000, 1_000_000):
+        page = piece * (size // small // len(piece))
+        began = time.process_time()
+        html_text.visible_text(page)
+        times.append(time.process_time() - began)
+    assert times[1] < 12 and times[1] < 10 * times[0] + 1
+
+
+def test_long_tables_with_one_long_cell():
+    page = "<table>" + "<tr><td>a<td>b" * 20_000 + f"<tr><td>{'long ' * 20_000}<td>c</table>"
+    got = html_text.visible_text(page)
+    assert len(got) < 2_000_000 and got.count("b") == 20_000 and got.count("long") == 20_000
