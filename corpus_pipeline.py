@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. Every stage works on all that the one before kept, written as Parquet and read again.
+Columns of any other names go through unread, also where they are named like a stage's own; an empty
+table gives an empty table; null texts are empty; null ids are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -107,7 +109,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. A stage's table is deleted once the next stage has been written from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
