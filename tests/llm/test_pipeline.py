@@ -121,3 +121,23 @@ def test_held_out_quality_and_toxicity(spark):
         rows = queries.QUERIES[name](spark, "/root/testdata/sf0.01").where("held_out").collect()
         judged = [r.predicted == labels[r.doc_id][k] for r in rows if r.doc_id in labels]
         assert len(judged) > 50 and sum(judged) / len(judged) > 0.85
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, folder):
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40)) for _ in range(8)]
+    rows = [(k, x) for k, x in enumerate([*texts, texts[0], f"{texts[1]} end", None, "", "x"])] + [(None, texts[2]), (None, None)]
+    names = ["row", "id", "digest", "none", "number", "score", "kept", "n", "rep", "key_a", "component", "label", "y", "u", "v", "held_out"]
+    made = spark.createDataFrame([(*x, *[str(k) for k in range(len(names))]) for x in rows], f"doc_id long, text string, {', '.join(f'{x} string' for x in names)}")
+    want = None
+    for docs in (made.select("doc_id", "text"), made):
+        counts = []
+        for name, stage in corpus_pipeline.STAGES:
+            found, none = stage(spark, docs, folder), stage(spark, docs.limit(0), folder)
+            assert none.count() == 0 and none.columns == found.columns
+            counts.append(sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in found.select("doc_id").collect()))
+            if name != "packing":
+                assert found.columns == docs.columns
+        want = want or counts
+        assert counts == want
+    assert len(want[2]) < len(rows) and len(want[3]) < len(rows)
