@@ -107,14 +107,16 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour, pointers are followed once more, and links are rewritten to what their ends point to;
     only links between different targets stay. In such an order the graph shrinks by a constant
     share each round, whatever its shape. Links with a null end or between a node and itself count
-    for nothing. Hot nodes meet in sums with partial aggregation or in joins whose large partitions
-    Spark splits. Intermediate tables are written to the shared folder, and deleted once unused.
+    for nothing. Hot nodes meet in sums with partial aggregation or in joins of written tables, whose
+    large partitions Spark splits. The result is a written table, which the caller may drop;
+    all others are deleted here.
     """
     links, labels = written(local_stars(edges.where("u <> v"), mix=True), "links"), None
     while labels is None or not links.isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("to"))
-        least = least.select("n", F.least("n", "to").alias("to"))
+        # written, so that both sides of the join are plain exchanges, whose hot keys Spark can split
+        least = written(least.select("n", F.least("n", "to").alias("to")), "least")
         jumped = least.alias("a").join(least.alias("b"), F.col("a.to") == F.col("b.n"))
         jumped = written(jumped.select(F.col("a.n").alias("n"), F.col("b.to").alias("to")), "pointers")
         if labels is None:
@@ -127,10 +129,11 @@ def components(edges: DataFrame) -> DataFrame:
         moved = links.join(ends, "u").join(ends.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
         moved = moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         rest = written(local_stars(moved.distinct()), "links")
-        for old in [links, jumped] + ([labels] if labels is not None else []):
-            drop_written(old)
+        drop_written(links, least, jumped, *([labels] if labels is not None else []))
         links, labels = rest, new
     drop_written(links)
     found = _unmixed(labels)
-    least = found.groupBy("component").agg(F.min("node").alias("least"))
-    return found.join(least, "component").select("node", F.col("least").alias("component"))
+    least = written(found.groupBy("component").agg(F.min("node").alias("least")), "least")
+    result = written(found.join(least, "component").select("node", F.col("least").alias("component")), "components")
+    drop_written(labels, least)
+    return result
