@@ -86,11 +86,13 @@ def simple_pitch(landmarks: Column) -> Column:
 
 
 #: Where each of the 68 landmarks goes in a mirrored face.
-MIRROR = (
-    [16 - k for k in range(17)] + [26 - k for k in range(10)] + [27, 28, 29, 30] + [35, 34, 33, 32, 31]
-    + [45, 44, 43, 42, 47, 46] + [39, 38, 37, 36, 41, 40] + [54, 53, 52, 51, 50, 49, 48, 59, 58, 57, 56, 55]
-    + [64, 63, 62, 61, 60, 67, 66, 65]
-)
+MIRROR = [
+    16, 15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0,  # jaw
+    26, 25, 24, 23, 22, 21, 20, 19, 18, 17,  # brows
+    27, 28, 29, 30, 35, 34, 33, 32, 31,  # nose
+    45, 44, 43, 42, 47, 46, 39, 38, 37, 36, 41, 40,  # eyes
+    54, 53, 52, 51, 50, 49, 48, 59, 58, 57, 56, 55, 64, 63, 62, 61, 60, 67, 66, 65,  # mouth
+]
 
 
 def mirror(landmarks: Column, width: Column) -> Column:
@@ -99,10 +101,11 @@ def mirror(landmarks: Column, width: Column) -> Column:
 
 
 def unrotate(x: Column, y: Column, degrees: Column, w: Column, h: Column) -> tuple[Column, Column]:
-    """A point found on a picture turned by 90, 180 or 270 degrees, on the picture itself."""
+    """A point found on a picture turned by 90, 180 or 270 degrees, on the picture itself, which is w
+    wide and h high."""
     return (
-        F.when(degrees == 90, w - y).when(degrees == 180, w - x).when(degrees == 270, y).otherwise(x),
-        F.when(degrees == 90, x).when(degrees == 180, h - y).when(degrees == 270, h - x).otherwise(y),
+        F.when(degrees == 90, y).when(degrees == 180, w - x).when(degrees == 270, w - y).otherwise(x),
+        F.when(degrees == 90, h - x).when(degrees == 180, h - y).when(degrees == 270, x).otherwise(y),
     )
 
 
@@ -126,6 +129,17 @@ def expand_brows(landmarks: Column, factor: Column) -> Column:
     return F.array(*moved)
 
 
+#: The pairs of 98 landmarks whose middles are the inner brow points.
+BROW_PAIRS = ((34, 41), (35, 40), (36, 39), (37, 38), (42, 50), (43, 49), (44, 48), (45, 47))
+#: The jaw and the landmarks that are taken as they are, of 98.
+JAW_98 = (0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 32)
+SAME_98 = (
+    51, 52, 53, 54, 55, 56, 57, 58, 59,  # nose
+    60, 61, 63, 64, 65, 67, 68, 69, 71, 72, 73, 75,  # eyes
+    76, 77, 78, 79, 80, 81, 82, 83, 84, 85, 86, 87, 88, 89, 90, 91, 92, 93, 94, 95,  # mouth
+)
+
+
 def from_98(points: Column) -> Column:
     """The 68 landmarks of a set of 98: the jaw thinned and smoothed, brows averaged, pupils and
     inner lids' middles left out."""
@@ -133,18 +147,48 @@ def from_98(points: Column) -> Column:
         *(sum(points[k][c] * w for k, w in weights) for c in (0, 1))
     )
     jaw = [
-        mix([(k, 1.0)]) if k % 16 == 0 else mix([(k, 0.5), (k - 1, 0.25), (k + 1, 0.25)]) for k in range(0, 33, 2)
+        mix([(k, 1.0)]) if k % 16 == 0 else mix([(k, 0.5), (k - 1, 0.25), (k + 1, 0.25)]) for k in JAW_98
     ]
-    brows = [mix([(33, 1.0)])] + [mix([(k, 0.5), (75 - k, 0.5)]) for k in range(34, 38)]
-    brows += [mix([(k, 0.5), (92 - k, 0.5)]) for k in range(42, 46)] + [mix([(46, 1.0)])]
-    same = [*range(51, 60), 60, 61, 63, 64, 65, 67, 68, 69, 71, 72, 73, 75, *range(76, 96)]
-    return F.array(*jaw, *brows, *(mix([(k, 1.0)]) for k in same))
+    halves = [mix([(a, 0.5), (b, 0.5)]) for a, b in BROW_PAIRS]
+    brows = [mix([(33, 1.0)]), *halves, mix([(46, 1.0)])]
+    return F.array(*jaw, *brows, *(mix([(k, 1.0)]) for k in SAME_98))
 
 
 def scale_points(points: Column, factor: Column) -> Column:
     return F.transform(points, lambda p: F.transform(p, lambda v: v * factor))
 
 
+def with_point(points: Column, n: Column, point: Column) -> Column:
+    """The points with one more at place n; an error beyond the last one."""
+    count = F.size(points)
+    put = F.concat(F.slice(points, 1, n), F.array(point), F.slice(points, n + 1, F.greatest(count - n, F.lit(0))))
+    outside = F.raise_error(F.concat(F.lit("no place "), n.cast("string")))
+    return F.when((n >= 0) & (n <= count), put).otherwise(outside.cast("array<array<double>>"))
+
+
+def without_point(points: Column, n: Column) -> Column:
+    """The points without the one at place n; an error where there is none."""
+    count = F.size(points)
+    left = F.concat(F.slice(points, 1, n), F.slice(points, n + 2, F.greatest(count - n - 1, F.lit(0))))
+    outside = F.raise_error(F.concat(F.lit("no point "), n.cast("string")))
+    return F.when((n >= 0) & (n < count), left).otherwise(outside.cast("array<array<double>>"))
+
+
+def shown_points(points: Column, undone: Column) -> Column:
+    """The points of a polygon whose last ones are undone; as many as there are, at most. Redoing is
+    undoing fewer."""
+    return F.slice(points, 1, F.greatest(F.size(points) - undone, F.lit(0)))
+
+
+def identical(a: Column, b: Column) -> Column:
+    """Whether two arrays of polygons have equal points in equal order, whatever their types."""
+    return F.transform(a, lambda p: p["pts"]) == F.transform(b, lambda p: p["pts"])
+
+
+def points_count(polygons: Column) -> Column:
+    return F.aggregate(polygons, F.lit(0).cast("long"), lambda n, p: n + F.size(p["pts"]))
+
+
 def include_first(polygons: Column) -> Column:
     """Polygons with those that include (type 1) before those that exclude, else in their order."""
     return F.concat(F.filter(polygons, lambda p: p["type"] == 1), F.filter(polygons, lambda p: p["type"] != 1))

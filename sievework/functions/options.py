@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Options that only a first run may set.
-STRUCTURAL = ("resolution", "face_type", "archi", "ae_dims", "e_dims", "d_dims", "d_mask_dims", "masked_training")
+STRUCTURAL = ("resolution", "archi", "ae_dims", "e_dims", "d_dims", "d_mask_dims", "head_name")
 
 
 def read(text: Column) -> Column:
@@ -27,6 +27,26 @@ def coerced(value):
         return value
 
 
+def typed(text: Column) -> Column:
+    """(kind, value) of an option's text, many rows at once: kind is boolean, int, double or string,
+    and the value is written in one way for each kind."""
+    low = F.lower(F.trim(text))
+    whole, number = F.rlike(low, F.lit(r"^[+-]?\d+$")), F.rlike(low, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"))
+    kind = F.when(low.isin("true", "false"), "boolean").when(whole, "int").when(number, "double").otherwise("string")
+    value = F.when(low.isin("true", "false"), low).when(whole, F.try_to_number(low, F.lit("S" + "9" * 30)).cast("string"))
+    value = value.when(number, low.cast("double").cast("string")).otherwise(text)
+    return F.when(text.isNotNull(), F.struct(kind.alias("kind"), F.coalesce(value, text).alias("value")))
+
+
+def overlaid(defaults: Column, given: Column, first_run: Column, structural: tuple[str, ...] = STRUCTURAL) -> Column:
+    """merged() for maps of texts, many rows at once: the defaults overlaid with what is given, without
+    structural options unless it is a first run; lr_dropout is y or n where a boolean is given."""
+    plain = F.transform_values(given, lambda k, v: F.when((k == "lr_dropout") & F.lower(F.trim(v)).isin("true", "false"), F.when(F.lower(F.trim(v)) == "true", "y").otherwise("n")).otherwise(typed(v)["value"]))
+    used = F.map_filter(plain, lambda k, v: first_run | ~k.isin(*structural))
+    kept = F.map_filter(defaults, lambda k, v: ~F.map_contains_key(used, k))
+    return F.when(used.isNull(), defaults).otherwise(F.map_concat(kept, used))
+
+
 def merged(defaults: dict, given: dict, first_run: bool, structural: tuple[str, ...] = STRUCTURAL) -> dict:
     """defaults overlaid with what is given, without structural options unless it is a first run."""
     out = dict(defaults)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The suffixes of pictures.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff")
 
 
@@ -34,8 +35,8 @@ def is_image(path: Column, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> Column
 
 
 def numbered(number: Column, path: Column) -> Column:
-    """The name %05d with the path's suffix."""
-    return F.concat(F.lpad(number.cast("string"), 5, "0"), suffix(path))
+    """The name %05d with the path's suffix: five digits, or as many as the number has."""
+    return F.concat(F.format_string("%05d", number.cast("long")), suffix(path))
 
 
 def frame_and_face(path: Column) -> Column:

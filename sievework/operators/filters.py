@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,15 @@ def first_faces(faces: Column, most: int) -> Column:
     return F.slice(faces, 1, most) if most > 0 else faces
 
 
+def first_rows(df: DataFrame, frame: str, order: list, most: int) -> DataFrame:
+    """first_faces for rows that are not grouped yet: Spark cuts each task's rows of a frame before the
+    shuffle, so that a frame with many rows is never gathered. 0 means all."""
+    if most <= 0:
+        return df
+    place = F.row_number().over(Window.partitionBy(frame).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def cleared(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """df without what the column held, and one row with how many rows changed."""
     changed = df.agg(F.coalesce(F.sum(F.col(column).isNotNull().cast("long")), F.lit(0)).alias("changed"))

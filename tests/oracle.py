@@ -1,6 +1,7 @@
 """Compares a query's rows with those of its SQL."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 
@@ -19,7 +20,7 @@ def plain(value):
         return "-"
     if isinstance(value, bool):
         return str(value)
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float, Decimal)):
         return f"{value:.6g}"
     return str(value)
 
