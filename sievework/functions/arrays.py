@@ -103,6 +103,19 @@ def first_known(*values: Column) -> Column:
     return reduce(lambda a, b: F.coalesce(a, b), values)
 
 
+def channels_of(pixels: Column, many: int) -> Column:
+    """Pixels, each an array of channels, with this number of channels: a single one is repeated, and
+    what is beyond is left out."""
+    repeated = lambda p: F.array_repeat(p[0], many)
+    return F.transform(pixels, lambda p: F.when((F.size(p) == 1) & (many > 1), repeated(p)).otherwise(F.slice(p, 1, many)))
+
+
+def even_sides(rows: Column) -> Column:
+    """Rows of pixels without an odd last row and an odd last column."""
+    even = lambda a: F.slice(a, 1, F.size(a) - F.size(a) % 2)
+    return F.transform(even(rows), even)
+
+
 YAW_EDGES = linspace(-1.2, 1.2, 128)
 
 

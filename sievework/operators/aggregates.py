@@ -85,3 +85,68 @@ def bounding_box(df: DataFrame, by: list[str], x: str, y: str, value: str, least
     inside = df.where(F.col(value) >= least).groupBy(*by)
     found = inside.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in (x, y) for k, f in (("min", F.min), ("max", F.max))])
     return found.where("n >= 4")
+
+
+def value_counts(df: DataFrame, by: list[str], values: str) -> DataFrame:
+    """(by, value, n): how often each value is in the arrays, as the bars of a histogram that has them.
+    Values are counted where they are before anything is shuffled."""
+    return df.select(*by, F.explode(values).alias("value")).groupBy(*by, "value").agg(F.count("*").alias("n"))
+
+
+def scale_of(df: DataFrame, position: str, value: str) -> DataFrame:
+    """One row with scale: twice the mean of all but the first fifth of the series."""
+    n = df.agg((F.max(position) + 1).alias("_n"))
+    late = df.crossJoin(F.broadcast(n)).where(F.col(position) >= F.floor(F.col("_n") / 5))  # one row
+    return late.agg((F.avg(value) * 2).alias("scale"))
+
+
+def mean_of_shifted(df: DataFrame, by: list[str], x: str, y: str, dx: str, dy: str) -> DataFrame:
+    """The mean of positions that were found on shifted pictures, each put back by its shift."""
+    return df.groupBy(*by).agg(F.avg(F.col(x) + F.col(dx)).alias(x), F.avg(F.col(y) + F.col(dy)).alias(y))
+
+
+def moments(df: DataFrame, channels: list[str]) -> tuple[list[float], list[list[float]]]:
+    """Means and the sample covariance matrix of a few channels: a bounded number of sums."""
+    means = [F.avg(c) for c in channels]
+    both = [F.covar_samp(a, b) for a in channels for b in channels]
+    row = list(df.agg(*[x.alias(f"c{k}") for k, x in enumerate([*means, *both])]).first())
+    size = len(channels)
+    return row[:size], [row[size + size * k : 2 * size + size * k] for k in range(size)]
+
+
+def recoloured(source: DataFrame, target: DataFrame, channels: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """source with its channels mapped linearly so that they have target's means and covariances, by the
+    map that moves them least, then clipped. Two small sets of sums reach the driver; the map itself is a
+    column expression."""
+    import numpy as np
+
+    def root(matrix, power):
+        values, vectors = np.linalg.eigh(matrix)
+        return vectors @ np.diag(np.maximum(values, np.finfo(float).eps) ** power) @ vectors.T
+
+    (mean, a), (aim, b) = moments(source, channels), moments(target, channels)
+    half, back = root(np.array(a, float), 0.5), root(np.array(a, float), -0.5)
+    moved = back @ root(half @ np.array(b, float) @ half, 0.5) @ back
+    new = {
+        c: F.least(F.lit(high), F.greatest(F.lit(low), sum(((F.col(d) - mean[k]) * float(moved[k, j]) for k, d in enumerate(channels)), F.lit(aim[j]))))
+        for j, c in enumerate(channels)
+    }
+    return source.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in source.columns])
+
+
+def dominant_cluster(df: DataFrame, channels: list[str], k: int = 3, seed: int = 7) -> DataFrame:
+    """One row: n, and mean and population deviation of each channel in the largest of k clusters; of
+    equally large ones the first. With under 100 rows fixed values: 50, then 0; 20, then 10."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in channels]).na.drop()
+    if rows.limit(100).count() < 100:
+        fixed = [(f"{c}_{kind}", first if j == 0 else rest) for kind, first, rest in (("mean", 50.0, 0.0), ("std", 20.0, 10.0)) for j, c in enumerate(channels)]
+        return df.agg(F.count("*").alias("n")).select("n", *[F.lit(value).alias(name) for name, value in fixed])
+    points = rows.withColumn("_point", array_to_vector(F.array(*channels)))
+    model = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster", maxIter=20).fit(points)
+    sums = model.transform(points).groupBy("_cluster").agg(
+        F.count("*").alias("n"), *[f(c).alias(f"{c}_{kind}") for kind, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in channels]
+    )
+    return sums.orderBy(F.desc("n"), "_cluster").limit(1).drop("_cluster")

@@ -108,9 +108,27 @@ def unlikeness(df: DataFrame, id_col: str, histogram: str, groups: list[str] = [
     return partial.groupBy("id").agg(F.round(F.sum("apart"), digits).alias("apart"))
 
 
-def _draw(seed: int, *columns: str) -> Column:
-    """A draw that depends on the row alone, so that a task that runs again draws the same."""
-    return F.xxhash64(F.lit(seed), *map(F.col, columns))
+def draw(seed: int, *columns: str | Column) -> Column:
+    """A draw that depends on the row alone, so that a task that runs again draws the same: the MD5 of
+    the seed and the columns' texts, as hexadecimal digits."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
+
+
+def uniform(drawn: Column) -> Column:
+    """A draw as a number in [0, 1): its first 48 bits."""
+    return F.conv(F.substring(drawn, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def truncated_normal(seed: int, *columns: str, most: float = 2.5, attempts: int = 12) -> Column:
+    """A normal draw by rejection, from -most to most, divided by most: the first of the attempts that
+    lies inside (all but one row in 10^22 have one; that one has 0)."""
+    found = []
+    for k in range(attempts):
+        a, b = (uniform(draw(seed, F.lit(k), F.lit(side), *columns)) for side in (0, 1))
+        x = F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * F.pi() * b)
+        found.append(F.when(F.abs(x) <= most, x / most))
+    return F.coalesce(*found, F.lit(0.0))
 
 
 def epoch_shuffle(df: DataFrame, id_col: str, seed: int, epochs: int = 1) -> DataFrame:
@@ -119,7 +137,7 @@ def epoch_shuffle(df: DataFrame, id_col: str, seed: int, epochs: int = 1) -> Dat
 
     rows = df.select(F.col(id_col).alias("id"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    rows = rows.withColumn("_draw", F.xxhash64(F.lit(seed), "epoch", "id"))
+    rows = rows.withColumn("_draw", draw(seed, "epoch", "id"))
     ranked = global_rank(rows, ["epoch", "_draw", "id"], "_at")
     first = ranked.groupBy("epoch").agg(F.min("_at").alias("_first"))
     placed = ranked.join(F.broadcast(first), "epoch")  # one row per epoch
@@ -133,8 +151,8 @@ def stratified(df: DataFrame, id_col: str, stratum: str, seed: int, salts: int =
     the draw, so that one large stratum is not one task.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"))
-    rows = rows.withColumn("_draw", _draw(seed, "id"))
-    rows = rows.withColumn("_part", F.floor((F.col("_draw") / F.lit(2.0**64) + 0.5) * salts).cast("int"))
+    rows = rows.withColumn("_draw", draw(seed, "id"))
+    rows = rows.withColumn("_part", F.floor(uniform(F.col("_draw")) * salts).cast("int"))
     inner = Window.partitionBy("stratum", "_part").orderBy("_draw", "id")
     sizes = rows.groupBy("stratum", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("stratum").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,3 +169,32 @@ def batches(df: DataFrame, position: str, size: int, value: str) -> DataFrame:
     numbered = df.withColumn("batch", F.floor(F.col(position) / size))
     grouped = numbered.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(position, value))).alias("m"))
     return grouped.where(F.size("m") == size).select("batch", F.transform("m", lambda x: x[value]).alias("members"))
+
+
+def dealt(df: DataFrame, position: str, workers: int) -> DataFrame:
+    """Adds worker and turn: positions go round the workers."""
+    at = F.col(position)
+    return df.withColumn("worker", F.pmod(at, F.lit(workers)).cast("int")).withColumn("turn", F.floor(at / workers))
+
+
+def partners(first: DataFrame, second: DataFrame, first_id: str, second_id: str, seed: int) -> DataFrame:
+    """(first_id, partner): rows of one set with rows of another, both in orders of their own. The
+    second set starts anew, in another order, whenever it is used up, so that no row of it is used more
+    than once oftener than another."""
+    many, others = first.count(), second.count()
+    own = epoch_shuffle(first, first_id, seed).select(first_id, "position")
+    rounds = -(-many // others) if others else 0
+    again = epoch_shuffle(second.select(F.col(second_id).alias("_other")), "_other", seed + 1, max(1, rounds))
+    again = again.select(F.col("_other").alias("partner"), (F.col("epoch") * others + F.col("position")).alias("position"))
+    return own.join(again, "position", "left").select(first_id, "partner")
+
+
+def index_lists(df: DataFrame, group: str, id_col: str) -> DataFrame:
+    """(group, place, id): the members of each group numbered in order of their ids, a row each, so
+    that no group is gathered."""
+    from .rank import global_rank
+
+    ranked = global_rank(df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id")), ["_g", "_id"], "_at")
+    first = ranked.groupBy(F.col("_g").alias("_first_of")).agg(F.min("_at").alias("_first"))
+    placed = ranked.join(first, F.col("_g").eqNullSafe(F.col("_first_of")))
+    return placed.select(F.col("_g").alias(group), (F.col("_at") - F.col("_first")).alias("place"), F.col("_id").alias(id_col))

@@ -528,25 +528,6 @@ def g2_geometry(spark, sf_dir):
     )
 
 
-# Sampling: seeded by a hash that SQL here does not have; tests check what must hold
-
-
-@query("p1_epoch_shuffle")
-def p1_epoch_shuffle(spark, sf_dir):
-    return select.epoch_shuffle(_t(spark, sf_dir, "customer"), "c_custkey", 7, 2)
-
-
-@query("p2_stratified")
-def p2_stratified(spark, sf_dir):
-    return select.stratified(_t(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", 7)
-
-
-@query("p4_batches")
-def p4_batches(spark, sf_dir):
-    one = select.epoch_shuffle(_t(spark, sf_dir, "customer"), "c_custkey", 7).select("c_custkey", "position")
-    return select.batches(one, "position", 16, "c_custkey")
-
-
 # Further operators of the inventory
 
 
@@ -639,12 +620,6 @@ def g17_rescaled_boxes(spark, sf_dir):
     return boxes.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", l.alias("l"), t.alias("t"), r.alias("r"), b.alias("b"))
 
 
-@query("p3_uniform_yaw_strata", """
-    WITH e AS (SELECT [-1.2 + k * (2.4 / 127) for k in range(127)] || [1.2] AS e),
-    b AS (SELECT greatest(len(list_filter(e, lambda x: x <= embedding[1]::DOUBLE * 4)) - 1, 0) AS bucket FROM embeddings, e)
-    SELECT bucket AS stratum, count(*) AS n, max(0) AS first_turn, count(*) - 1 AS last_turn FROM b GROUP BY 1""")
-def p3_uniform_yaw_strata(spark, sf_dir):
-    yaw = F.col("embedding")[0].cast("double") * 4
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", arrays.bucket(yaw, arrays.YAW_EDGES).alias("bucket"))
-    turns = select.stratified(rows, "vec_id", "bucket", 7).groupBy("stratum")
-    return turns.agg(F.count("*").alias("n"), F.min("turn").cast("int").alias("first_turn"), F.max("turn").alias("last_turn"))
+from . import queries_more  # noqa: E402  (it registers its queries with the decorator above)
+
+ORACLE_SQL |= queries_more.CHAINS | {"o16_non_max_suppression": queries_more.SUPPRESSION}

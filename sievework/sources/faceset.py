@@ -40,10 +40,14 @@ def unpack(packed: DataFrame, folder: str) -> int:
     """Writes each row's content as a file under a folder that all executors share; the number of files.
 
     A person's files go to a folder of the person's name. File names keep only their last part, so
-    that no row can write outside.
+    that no row can write outside. Rows that would be one file are an error before anything is written.
     """
     import os
 
+    twice = packed.groupBy(F.regexp_extract("person_name", "[^/]*$", 0), F.regexp_extract("filename", "[^/]*$", 0)).count().where("count > 1")
+    if not twice.isEmpty():
+        raise ValueError("several rows have one file name")
+
     def put(batches):
         import pyarrow as pa
 

@@ -21,6 +21,20 @@ def scan(spark: SparkSession, folder: str, recursive: bool = False, suffixes: tu
     return files.where(paths.is_image(F.col("path"), suffixes)).select("path", "length", "modificationTime")
 
 
+def folders(spark: SparkSession, folder: str, recursive: bool = False) -> list[str]:
+    """The names of the folders in a folder, in order; with recursive the paths of all below it. A
+    listing by the file system, on the driver: folders are few where files are many."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [top] if system.exists(top) else []
+    while todo:
+        for status in system.listStatus(todo.pop()):
+            if status.isDirectory():
+                found.append(status.getPath().toUri().getPath() if recursive else status.getPath().getName())
+                todo += [status.getPath()] if recursive else []
+    return sorted(found)
+
+
 def unique_stems(df: DataFrame, path: str, ties: list[str] | None = None) -> DataFrame:
     """The first row by path of each stem. An aggregate, so that a hot stem is combined early."""
     row = F.struct(path, *(ties or []), *[c for c in df.columns if c != path and c not in (ties or [])])
