@@ -31,18 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Spark's own setting that deletes a query's shuffle files as soon as the query has ended.
-_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings that delete a query's shuffle files as soon as the query has ended, and that
+#: bound what goes to a Python worker at once, which long texts would make large.
+_FRUGAL = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 @contextmanager
-def _freed(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_FREED, "false")
-    spark.conf.set(_FREED, "true")
+def _frugal(spark: SparkSession) -> Iterator[None]:
+    before = {key: spark.conf.get(key) for key in _FRUGAL}
+    for key, value in _FRUGAL.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_FREED, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -50,7 +56,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     files that led to it are deleted with the write's end, as nothing reads them any more."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    with _freed(spark):
+    with _frugal(spark):
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
