@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, tidy, written
 
 
 class Forest:
@@ -88,7 +88,7 @@ def local_stars(edges: DataFrame, mix: bool = False) -> DataFrame:
         pairs = (np.ascontiguousarray(_columns(batch)) for batch in batches)
         yield from stars(map(mixed, pairs) if mix else pairs)
 
-    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(tidy(run), "u long, v long")
 
 
 def _unmixed(labels: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def _unmixed(labels: DataFrame) -> DataFrame:
             ids = plain(np.ascontiguousarray(_columns(batch)))
             yield pa.record_batch([pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=["node", "component"])
 
-    return labels.mapInArrow(run, "node long, component long")
+    return labels.mapInArrow(tidy(run), "node long, component long")
 
 
 def components(edges: DataFrame) -> DataFrame:

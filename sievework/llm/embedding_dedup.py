@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, tidy, written
 from .components import components, stars
 
 BLOCKS = 4
@@ -108,7 +108,7 @@ def _signatures(classes: DataFrame, code: int) -> DataFrame:
                     listed = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], found.ravel())
                     yield pa.record_batch([some.column(0), pa.array(np.full(len(found), width, np.int32)), listed], names=["rep", "width", "filters"])
 
-    return classes.mapInArrow(run, "rep long, width int, filters array<long>")
+    return classes.mapInArrow(tidy(run), "rep long, width int, filters array<long>")
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def _met(units: DataFrame, least: float) -> DataFrame:
         if held:
             yield found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return units.mapInArrow(run, "u long, v long, n long")
+    return units.mapInArrow(tidy(run), "u long, v long, n long")
 
 
 def near_vectors(

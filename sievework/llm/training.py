@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, text_of
+from .common import held_out, text_of, tidy
 
 
 def labelled_sample(
@@ -56,4 +56,4 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarra
                 texts = [x or "" for x in row.field(text_col).to_pylist()]
                 yield pa.record_batch([row, pa.array(score(texts), pa.float64())], names=["row", "score"])
 
-    return docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")).mapInArrow(run, schema)
+    return docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")).mapInArrow(tidy(run), schema)
