@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import nearest_known, running_sum
+
 
 def persons(df: DataFrame, column: str) -> DataFrame:
     """persons: how many different names there are; none at all is one of them."""
@@ -41,29 +45,33 @@ def covariances(df: DataFrame, by: list[str], channels: list[str], eps: float =
 
 
 def cumulative_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, value, share): the share of rows at or below each distinct value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    return counts.select(*by, value, (F.sum("n").over(up) / F.sum("n").over(all_)).alias("share"))
+    """(by, value, share): the share of rows at or below each distinct value. Distinct values are summed
+    up in ranges (rank.running_sum), so that those of one group need not be in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_count"))
+    summed = running_sum(counts, [*by, value], "_count", "_up")
+    groups = summed.groupBy(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)])
+    groups = groups.agg(F.min(F.col("_up") - F.col("_count")).alias("_from"), F.sum("_count").alias("_all"))
+    if by:
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)])
+        joined = summed.join(groups, same)
+    else:
+        joined = summed.crossJoin(F.broadcast(groups))  # one row
+    return joined.select(*by, value, ((F.col("_up") - F.col("_from")) / F.col("_all")).alias("share"))
 
 
 def matched(source: DataFrame, target: DataFrame, value: str) -> DataFrame:
     """(value, matched): each distinct source value with the target value at the same share,
     linearly interpolated between target steps and constant beyond them. Both tables hold one row
-    per distinct value; what lies between two target steps is found by a merged window."""
-    a = cumulative_share(source.withColumn("_one", F.lit(1)), ["_one"], value).select(value, "share")
-    b = cumulative_share(target.withColumn("_one", F.lit(1)), ["_one"], value).select(F.col(value).alias("to"), "share")
-    both = a.withColumn("to", F.lit(None).cast("double")).unionByName(b.select(F.lit(None).cast("double").alias(value), F.col("share"), F.col("to").cast("double")))
-    step = F.when(F.col("to").isNotNull(), F.struct("share", "to"))
-    up = Window.orderBy("share", F.col("to").asc_nulls_last())
-    below = F.last(F.when(F.col("to").isNotNull(), F.struct("share", "to")), True).over(Window.orderBy("share", F.col("to").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(step, True).over(up.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_a", below).withColumn("_b", above).where(F.col("to").isNull())
+    per distinct value; the target steps around a share are found in ranges of the shares of both."""
+    a = cumulative_share(source, [], value).select(F.col(value).cast("double").alias("value"), "share")
+    b = cumulative_share(target, [], value).select(F.col(value).cast("double").alias("to"), "share")
+    both = a.withColumn("to", F.lit(None).cast("double")).unionByName(b.withColumn("value", F.lit(None).cast("double")))
+    both = both.withColumn("_later", F.col("to").isNull()).withColumn("_step", F.when(F.col("to").isNotNull(), F.struct("share", "to")))
+    found = nearest_known(both, ["share", "_later", "to", "value"], "_step", "_a", "_b").where(F.col("to").isNull())
     x, low, high = F.col("share"), F.col("_a"), F.col("_b")
     between = low["to"] + (high["to"] - low["to"]) * (x - low["share"]) / (high["share"] - low["share"])
     value_of = F.when(low.isNull(), high["to"]).when(high.isNull(), low["to"]).when(high["share"] == x, high["to"]).otherwise(between)
-    return found.select(value, value_of.alias("matched"))
+    return found.select(F.col("value").alias(value), value_of.alias("matched"))
 
 
 def every_kth(df: DataFrame, position: str, most: int = 100_000, aim: int = 50_000) -> DataFrame:

@@ -35,23 +35,71 @@ def sort_by(
     return ranked.withColumn("new_name", name)
 
 
-def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers all rows from 0 in this order without gathering them in one task: rows are ranged by
-    the order, numbered inside their ranges, and shifted by the sizes of the ranges before.
+def _asc(order: list[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in order]
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _range: rows are dealt to ranges of this order, one after the other; equal keys share one.
 
     Range bounds come from a sample that differs from run to run, so the ranged rows are written
-    once and what follows reads the same ranges, also after an executor is lost."""
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
-    marked = written(ranged.withColumn("_range", F.spark_partition_id()), "ranged")
-    within = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = marked.withColumn("_within", F.row_number().over(within) - 1)
+    once and what follows reads the same ranges, also after an executor is lost. That table is what the
+    result reads, so it stays until the shared folder is cleaned."""
+    dealt = df.repartitionByRange(*_asc(order))
+    return written(dealt.withColumn("_range", F.spark_partition_id()), "ranged")
+
+
+def _before(sums: DataFrame, *columns: Column) -> DataFrame:
+    """One row per range (one per partition, which is why these are broadcast): sums over those before."""
+    return F.broadcast(sums.select("_range", *columns))
+
+
+UP_TO_HERE = (Window.unboundedPreceding, -1)
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of a column up to and with each row, without gathering rows in one task: sums
+    inside ranges are shifted by the sums of the ranges before."""
+    marked = ranged(df, order)
+    within = Window.partitionBy("_range").orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    sums = marked.groupBy("_range").agg(F.sum(value).alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(*UP_TO_HERE)), F.lit(0)).alias("_offset")
+    joined = marked.withColumn("_within", F.sum(value).over(within)).join(_before(sums, offset), "_range")
+    return joined.withColumn(name, F.col("_within") + F.col("_offset")).drop("_range", "_within", "_offset")
+
+
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Numbers all rows from 0 in this order without gathering them in one task."""
+    marked = ranged(df, order)
+    within = Window.partitionBy("_range").orderBy(*_asc(order))
     sizes = marked.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    joined = numbered.join(F.broadcast(offsets), "_range")  # one row per partition
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(*UP_TO_HERE)), F.lit(0)).alias("_offset")
+    joined = marked.withColumn("_within", F.row_number().over(within) - 1).join(_before(sizes, offset), "_range")
     return joined.withColumn(name, F.col("_within") + F.col("_offset")).drop("_range", "_within", "_offset")
 
 
+def nearest_known(df: DataFrame, order: list[str], value: str, below: str, above: str) -> DataFrame:
+    """Adds the last value that is not null up to and with each row, and the first from it on. Ranges
+    without one pass on what their neighbours have."""
+    marked = ranged(df, order)
+    inside = Window.partitionBy("_range").orderBy(*_asc(order))
+    known = marked.where(F.col(value).isNotNull()).groupBy("_range")
+    place = F.struct(*order)
+    ends = known.agg(F.max_by(value, place).alias("_last"), F.min_by(value, place).alias("_first"))
+    ends = marked.select("_range").distinct().join(ends, "_range", "left")
+    by_range = Window.orderBy("_range")
+    found = ends.select(
+        "_range",
+        F.last("_last", True).over(by_range.rowsBetween(*UP_TO_HERE)).alias("_before"),
+        F.first("_first", True).over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    own = marked.withColumn("_low", F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("_high", F.first(value, True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    joined = own.join(F.broadcast(found), "_range")  # one row per partition
+    joined = joined.withColumn(below, F.coalesce("_low", "_before")).withColumn(above, F.coalesce("_high", "_after"))
+    return joined.drop("_range", "_low", "_high", "_before", "_after")
+
+
 def by_sharpness(df: DataFrame, sharpness: str, ties: list[str]) -> DataFrame:
     """blur: sharpest first; a score of exactly 0 is rejected."""
     return sort_by(df, F.col(sharpness).cast("double"), ties, reject=F.col(sharpness) == 0)

@@ -180,3 +180,19 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(Context, "_jsc", type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: held})()})())
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+def test_sums_and_neighbours_over_ranges(spark):
+    from sievework.operators import rank
+
+    r = np.random.default_rng(5)
+    rows = [(k, int(r.integers(0, 9)), float(x) if r.random() < 0.05 else None) for k, x in enumerate(r.normal(size=400))]
+    df = spark.createDataFrame(rows, "k long, n long, v double").repartition(7)
+    got = rank.nearest_known(rank.running_sum(df, ["k"], "n", "up"), ["k"], "v", "low", "high").orderBy("k").collect()
+    up, low = 0, None
+    for k, n, v in rows:
+        up, low = up + n, v if v is not None else low
+        high = next((x for _, _, x in rows[k:] if x is not None), None)
+        assert (got[k].up, got[k].low, got[k].high) == (up, low, high)
+    assert rank.nearest_known(df.limit(0), ["k"], "v", "low", "high").count() == 0 == rank.running_sum(df.limit(0), ["k"], "n", "up").count()
+    assert aggregates.matched(df.limit(0), df, "n").count() == 0
