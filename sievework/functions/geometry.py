@@ -112,21 +112,13 @@ def unrotate(x: Column, y: Column, degrees: Column, w: Column, h: Column) -> tup
 def expand_brows(landmarks: Column, factor: Column) -> Column:
     """Moves each brow point away from the eye by half its distance times the factor. Coordinates
     are whole numbers: cut on the way in and out, rounded down in the middle of two points."""
-    whole = lambda k, c: landmarks[k][c].cast("long")
-    middle = lambda a, b: F.floor((a + b) / 2)
-    quarter = lambda eye, jaw, c: middle(whole(eye, c), middle(whole(eye, c), whole(jaw, c)))
-    moved = []
-    for k in range(68):
-        point = []
-        for c in (0, 1):
-            value = whole(k, c)
-            if 17 <= k <= 26:
-                eye = {17: quarter(36, 0, c), 26: quarter(45, 16, c)}.get(k)
-                eye = whole(k + (18 if k < 22 else 20), c) if eye is None else eye
-                value = (value + factor * 0.5 * (value - eye)).cast("long")
-            point.append(value)
-        moved.append(F.array(*point))
-    return F.array(*moved)
+    whole = F.transform(landmarks, lambda p: F.transform(p, lambda v: v.cast("long")))
+    middle = lambda a, b: F.zip_with(a, b, lambda x, y: F.floor((x + y) / 2))
+    quarter = lambda eye, jaw: middle(whole[eye], middle(whole[eye], whole[jaw]))
+    eyes = F.array(quarter(36, 0), *(whole[k] for k in (36, 37, 38, 39, 42, 43, 44, 45)), quarter(45, 16))
+    away = lambda v, eye: (v + factor * 0.5 * (v - eye)).cast("long")
+    moved = F.zip_with(F.slice(whole, 18, 10), eyes, lambda p, eye: F.zip_with(p, eye, away))
+    return F.concat(F.slice(whole, 1, 17), moved, F.slice(whole, 28, F.size(whole) - 27))
 
 
 #: The pairs of 98 landmarks whose middles are the inner brow points.

@@ -171,9 +171,11 @@ def a13_dominant_cluster(spark, sf_dir):
 _X, _Y = (lambda k: k % 64), (lambda k: (7 * k + 3) % 64)
 
 
-def _points(many, factor=1.0):
-    at = lambda k: F.col("embedding")[k].cast("double") * factor
-    return F.array(*(F.array(at(_X(k)), at(_Y(k))) for k in range(many)))
+def _points(spark, sf_dir, many, factor=1.0):
+    """A table with landmarks, as a column of its own that is computed once."""
+    at = lambda k: F.get("embedding", k).cast("double") * factor
+    made = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda k: F.array(at(_X(k)), at(_Y(k))))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", made.alias("points"))
 
 
 def _x(k):
@@ -184,9 +186,9 @@ def _y(k):
     return f"embedding[{_Y(k) + 1}]::DOUBLE"
 
 
-def _shown(spark, sf_dir, points):
-    """A row for each point."""
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(points).alias("k", "p"))
+def _shown(rows, made):
+    """A row for each point of what is made of the landmarks."""
+    rows = rows.select("vec_id", F.posexplode(made).alias("k", "p"))
     return rows.select("vec_id", F.col("k").cast("long").alias("k"), F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
 
 
@@ -212,9 +214,8 @@ def g2_euler(spark, sf_dir):
     SELECT vec_id, round((({_x(16)} - {_x(27)}) + ({_x(15)} - {_x(28)}) + ({_x(14)} - {_x(29)})) / 3 - (({_x(27)} - {_x(0)}) + ({_x(28)} - {_x(1)}) + ({_x(29)} - {_x(2)})) / 3, 6) AS yaw,
            round({_y(8)} - (({_y(6)} - {_y(8)}) + ({_y(10)} - {_y(8)})) / 2, 6) AS pitch FROM embeddings""")
 def g7_yaw_g8_pitch(spark, sf_dir):
-    points = _points(68)
-    yaw, pitch = geometry.averaged_yaw(points), geometry.simple_pitch(points)
-    return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(yaw, 6).alias("yaw"), F.round(pitch, 6).alias("pitch"))
+    yaw, pitch = geometry.averaged_yaw(F.col("points")), geometry.simple_pitch(F.col("points"))
+    return _points(spark, sf_dir, 68).select("vec_id", F.round(yaw, 6).alias("yaw"), F.round(pitch, 6).alias("pitch"))
 
 
 def _from_98_sql(c) -> list[str]:
@@ -227,12 +228,12 @@ def _from_98_sql(c) -> list[str]:
 
 @query("g10_from_98", _shown_sql(_from_98_sql(_x), _from_98_sql(_y)))
 def g10_from_98(spark, sf_dir):
-    return _shown(spark, sf_dir, geometry.from_98(_points(98)))
+    return _shown(_points(spark, sf_dir, 98), geometry.from_98(F.col("points")))
 
 
 @query("g11_mirror", _shown_sql([f"(255 - {_x(k)})" for k in geometry.MIRROR], [_y(k) for k in geometry.MIRROR]))
 def g11_mirror(spark, sf_dir):
-    return _shown(spark, sf_dir, geometry.mirror(_points(68), F.lit(256)))
+    return _shown(_points(spark, sf_dir, 68), geometry.mirror(F.col("points"), F.lit(256)))
 
 
 def _brows_sql(c) -> list[str]:
@@ -245,7 +246,7 @@ def _brows_sql(c) -> list[str]:
 
 @query("g12_expanded_brows", _shown_sql(_brows_sql(_x), _brows_sql(_y)))
 def g12_expanded_brows(spark, sf_dir):
-    return _shown(spark, sf_dir, geometry.expand_brows(_points(68, 100.0), F.lit(1.0)).cast("array<array<double>>"))
+    return _shown(_points(spark, sf_dir, 68, 100.0), geometry.expand_brows(F.col("points"), F.lit(1.0)).cast("array<array<double>>"))
 
 
 @query("g16_unrotated", """
