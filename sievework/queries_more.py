@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import arrays, geometry, options, paths
-from .operators import aggregates, joins, rank, select
+from .operators import aggregates, joins, pixels, rank, select
 from .queries import _ABS, _BOXES, _LEVELS, _levels, _t, query
 from .sources import jpeg
 
@@ -356,6 +356,86 @@ def k1_rewritten_metadata(spark, sf_dir):
     )
 
 
+# Pixels and poses
+
+
+def _shots(spark, sf_dir):
+    """A picture of 4 by 4 pixels from the first 48 numbers of each vector."""
+    level = F.transform(F.slice("embedding", 1, 48), lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256)
+    data = F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    shape = [F.lit(n).alias(k) for k, n in (("height", 4), ("width", 4), ("channels", 3))]
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.struct(*shape, data.alias("data")).alias("picture"))
+
+
+_BYTES = """b AS (SELECT vec_id, list_transform(embedding[1:48], lambda x: floor(abs(x::DOUBLE) * 1000)::BIGINT % 256) AS v FROM embeddings)"""
+
+
+@query("a7_colour_scores", f"""
+    WITH {_BYTES}, p AS (SELECT vec_id, unnest(list_transform(range(16), lambda k: struct_pack(b := v[3 * k + 1], g := v[3 * k + 2], r := v[3 * k + 3])), recursive := true) FROM b),
+    s AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS spread FROM p),
+    h AS (SELECT *, CASE WHEN top = r THEN g - b WHEN top = g THEN b - r + 2 * spread ELSE r - g + 4 * spread END AS part FROM s),
+    u AS (SELECT *, CASE WHEN spread > 0 THEN floor((part * round_even(122880 / spread, 0) + 2048) / 4096) ELSE 0 END AS hue FROM h)
+    SELECT vec_id, round(avg(top), 6) AS brightness, round(avg(CASE WHEN hue < 0 THEN hue + 180 ELSE hue END), 6) AS hue,
+           sum((r = 0)::BIGINT + (g = 0)::BIGINT + (b = 0)::BIGINT)::BIGINT AS black FROM u GROUP BY 1""")
+def a7_colour_scores(spark, sf_dir):
+    made = _shots(spark, sf_dir).select("vec_id", pixels.colour_scores(F.col("picture")).alias("s"))
+    return made.select("vec_id", F.round("s.brightness", 6).alias("brightness"), F.round("s.hue", 6).alias("hue"), "s.black")
+
+
+@query("a6_channel_histograms", f"""
+    WITH {_BYTES} SELECT vec_id, channel, v[3 * k + channel + 1] AS level, count(*) AS n FROM b, range(16) AS x(k), range(3) AS y(channel) GROUP BY ALL""")
+def a6_channel_histograms(spark, sf_dir):
+    made = _shots(spark, sf_dir).select("vec_id", F.posexplode(pixels.channel_histograms(F.col("picture"))).alias("channel", "counts"))
+    made = made.select("vec_id", F.col("channel").cast("long").alias("channel"), F.posexplode("counts").alias("level", "n"))
+    return made.where("n > 0").select("vec_id", "channel", F.col("level").cast("long").alias("level"), "n")
+
+
+#: The smoothing binomials of side 11, and the second difference smoothed to the same side.
+_SMOOTH = "[1, 10, 45, 120, 210, 252, 210, 120, 45, 10, 1]"
+_BEND = "[1, 6, 13, 8, -14, -28, -14, 8, 13, 6, 1]"
+
+
+@query("a9_laplacian_variance", f"""
+    WITH {_BYTES}, o AS (SELECT d, {_SMOOTH}[d + 6]::DOUBLE AS s, {_BEND}[d + 6]::DOUBLE AS t FROM range(-5, 6) AS x(d)),
+    m AS (SELECT i, least((i + d + 6) % 6, 6 - (i + d + 6) % 6) AS j, sum(s) AS s, sum(t) AS t FROM o, range(4) AS x(i) GROUP BY 1, 2),
+    w AS (SELECT y.i AS y, x.i AS x, y.j AS v, x.j AS u, y.t * x.s + y.s * x.t AS weight FROM m y, m x),
+    l AS (SELECT vec_id, y, x, c, sum(weight * b.v[(w.v * 4 + w.u) * 3 + c + 1]) AS value FROM b, w, range(3) AS z(c) GROUP BY ALL)
+    SELECT vec_id, round(var_pop(value) / 1e6, 3) AS score FROM l GROUP BY 1""")
+def a9_laplacian_variance(spark, sf_dir):
+    score = pixels.laplacian_variance(F.col("picture"))
+    return _shots(spark, sf_dir).select("vec_id", F.round(score / 1e6, 3).alias("score"))
+
+
+def _angle(k: int):
+    """Three angles of a row, none of them 0."""
+    return (F.col("c_custkey") * (2 * k + 1) % 40 - 19.5) / 50
+
+
+@query("g9_pose", """
+    SELECT c_custkey, round(-(c_custkey % 40 - 19.5) / 50, 6) AS pitch, round((c_custkey * 3 % 40 - 19.5) / 50, 6) AS yaw,
+           round((c_custkey * 5 % 40 - 19.5) / 50, 6) AS roll FROM customer""")
+def g9_pose(spark, sf_dir):
+    """Heads turned by known angles and seen in a picture, whose angles are then found again."""
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", *(_angle(k).cast("double").alias(a) for k, a in enumerate("xyz")))
+    (cx, sx), (cy, sy), (cz, sz) = ((F.cos(a), F.sin(a)) for a in "xyz")
+    turn = [
+        [cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx],
+        [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx],
+        [-sy, cy * sx, cy * cx],
+    ]
+    rows = rows.select("c_custkey", F.array(*(F.array(*r) for r in turn)).alias("m"))
+    places = {k: p for k, p in zip(pixels.HEAD_USED, pixels.HEAD, strict=True)}
+    head = F.array(*(F.array(*map(F.lit, places.get(k, (0.0, 0.0, 0.0)))) for k in range(68)))
+
+    def seen(p):
+        x, y, z = (sum(F.col("m")[i][j] * p[j] for j in range(3)) for i in range(3))
+        return F.array((x + 5) / (z + 330) * 256 + 128, (y - 3) / (z + 330) * 256 + 128)
+
+    made = rows.select("c_custkey", F.transform(head, seen).alias("points"))
+    made = made.select("c_custkey", pixels.head_pose(F.col("points")).alias("p"))
+    return made.select("c_custkey", *(F.round(F.col("p")[k], 6).alias(k) for k in ("pitch", "yaw", "roll")))
+
+
 # SQL of the sequential kernels, whose queries are registered with the operators
 
 
