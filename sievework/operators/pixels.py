@@ -186,10 +186,8 @@ def _given(points) -> np.ndarray | None:
     return held if np.isfinite(held).all() and np.abs(held).max() < 1e6 else None
 
 
-def laplacian_variance(picture: Column, landmarks: Column | None = None, side: int = 11) -> Column:
-    """The population variance of the Laplacian over all pixels and channels: low where a picture is
-    blurred. With landmarks (brows expanded by geometry.expand_brows) what lies outside the face is black
-    before that; a picture without 68 of them scores 0, as a picture that holds no face."""
+def _scored(measure, picture: Column, landmarks: Column | None) -> Column:
+    """What a function of (height, width, channels) bytes gives for each picture, cut out by its landmarks."""
 
     def score(row, points, masked):
         image = pixels_of(row)
@@ -200,7 +198,7 @@ def laplacian_variance(picture: Column, landmarks: Column | None = None, side: i
             if held is None:
                 return 0.0
             image = image * hull_mask(*image.shape[:2], held)[..., None]
-        return float(laplacian(image, side).var())
+        return float(measure(image))
 
     @F.pandas_udf("double")
     def plain(batch: pd.DataFrame) -> pd.Series:
@@ -213,6 +211,133 @@ def laplacian_variance(picture: Column, landmarks: Column | None = None, side: i
     return plain(picture) if landmarks is None else within(picture, landmarks)
 
 
+def laplacian_variance(picture: Column, landmarks: Column | None = None, side: int = 11) -> Column:
+    """The population variance of the Laplacian over all pixels and channels: low where a picture is
+    blurred. With landmarks (brows expanded by geometry.expand_brows) what lies outside the face is black
+    before that; a picture without 68 of them scores 0, as a picture that holds no face."""
+    return _scored(lambda image: laplacian(image, side).var(), picture, landmarks)
+
+
+# Sharpness
+
+# The side of a block, the share of edges that makes it count, the widths that are just
+# noticed at a contrast up to 50 and beyond, the exponent, and the percent below which blur is not seen.
+BLOCK, EDGES, WIDTHS, EXPONENT, UNSEEN = 64, 0.002, (5.0, 3.0), 3.6, 64
+#: The longest slope that is followed to each side of an edge.
+SLOPE = 100
+
+
+def grey_of(image: np.ndarray) -> np.ndarray:
+    """The luma of blue, green, red bytes, weighed in parts of 32768; of fewer channels the first."""
+    if image.shape[2] < 3:
+        return image[..., 0].astype(np.float64)
+    weighed = image[..., :3].astype(np.int64) @ np.array([3735, 19235, 9798])
+    return ((weighed + 16384) >> 15).astype(np.float64)
+
+
+def _run(step: np.ndarray) -> np.ndarray:
+    """How many steps in a row hold up to each place, along rows; one place more than steps, as the first has none."""
+    holds = np.pad(step, ((0, 0), (1, 0)))
+    place = np.arange(holds.shape[1])
+    return place - np.maximum.accumulate(np.where(holds, 0, place), 1)
+
+
+def upright_edges(grey: np.ndarray) -> np.ndarray:
+    """Where the sideways derivative is strong and greater than beside or above it."""
+    wide = np.pad(grey, 1, mode="symmetric")
+    down = wide[:-2] + 2 * wide[1:-1] + wide[2:]
+    strong = ((down[:, 2:] - down[:, :-2]) / 8) ** 2
+    strong[strong <= 2 * np.sqrt(strong.mean())] = 0
+    around = np.pad(strong, 1)
+    peak = lambda a, b: (strong > a) & (strong > b)
+    return peak(around[1:-1, :-2], around[1:-1, 2:]) | peak(around[:-2, 1:-1], around[2:, 1:-1])
+
+
+def edge_widths(grey: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The length of the slope through each edge that rises or falls along its row; elsewhere 0."""
+    widths = np.zeros(grey.shape)
+    if min(grey.shape) < 3:
+        return widths
+    up, aside = np.gradient(grey)
+    angle = np.where(aside != 0, np.arctan2(up, aside), 0.0)
+    if not angle.any():
+        return widths
+    eighth = np.abs(np.rint(np.degrees(angle) / 45))
+    step = np.diff(grey, axis=1)
+
+    def both(rising):
+        """The slope from the pixels beside each one outwards, each way."""
+        left = np.minimum(_run(rising), SLOPE)[:, :-2]
+        right = np.minimum(_run(rising[:, ::-1])[:, ::-1], SLOPE)[:, 2:]
+        return (left + right + 2)[1:-1]
+
+    inner = slice(1, -1)
+    kind = np.where(edges[inner, inner], eighth[inner, inner], -1)
+    widths[inner, inner] = np.where(kind == 0, both(step > 0), np.where(kind == 4, both(step < 0), 0))
+    return widths
+
+
+def traced_edges(grey: np.ndarray, low: float = 0.1, high: float = 0.2) -> np.ndarray:
+    """Ridges of the gradient of the smoothed picture that reach high, with all that is linked to them
+    and reaches low. The picture is smoothed by a Gaussian of deviation 1 that knows nothing beyond the
+    borders, and pixels on the border are none."""
+    bell = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    bell /= bell.sum()
+
+    def smoothed(x):
+        for axis in (0, 1):
+            around = np.pad(x, [(4, 4) if k == axis else (0, 0) for k in (0, 1)])
+            x = np.lib.stride_tricks.sliding_window_view(around, 9, axis) @ bell
+        return x
+
+    soft = smoothed(grey) / (smoothed(np.ones(grey.shape)) + np.finfo(float).eps)
+    wide = np.pad(soft, 1, mode="symmetric")
+    across, along = wide[:-2] + 2 * wide[1:-1] + wide[2:], wide[:, :-2] + 2 * wide[:, 1:-1] + wide[:, 2:]
+    gx, gy = across[:, 2:] - across[:, :-2], along[2:] - along[:-2]
+    size = np.hypot(gx, gy)
+    y, x = np.nonzero(size[1:-1, 1:-1] >= low)
+    y, x = y + 1, x + 1
+    gx, gy, own = gx[y, x], gy[y, x], size[y, x]
+    flat = np.abs(gx) >= np.abs(gy)
+    share = np.minimum(np.abs(gx), np.abs(gy)) / np.maximum(np.abs(gx), np.abs(gy))
+    sx, sy = np.where(gx < 0, -1, 1), np.where(gy < 0, -1, 1)
+    ridge = np.ones(len(y), bool)
+    for way in (1, -1):
+        straight = size[y + np.where(flat, 0, way * sy), x + np.where(flat, way * sx, 0)]
+        ridge &= own >= share * size[y + way * sy, x + way * sx] + (1 - share) * straight
+    weak, found = np.zeros(grey.shape, bool), np.zeros(grey.shape, bool)
+    weak[y[ridge], x[ridge]] = True
+    front = np.stack([y, x], 1)[ridge & (own >= high)]
+    around = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while len(front):  # ridges never touch the border, so a neighbour is always inside
+        found[front[:, 0], front[:, 1]] = True
+        front = np.unique((front[:, None] + around).reshape(-1, 2), axis=0)
+        front = front[weak[front[:, 0], front[:, 1]] & ~found[front[:, 0], front[:, 1]]]
+    return found
+
+
+def sharpness_of(image: np.ndarray) -> float:
+    """The share of edges whose blur is seen with a chance below UNSEEN percent, over whole blocks that hold
+    edges enough; 0 where there is none. Chances are rounded to a percent, a half to the even one."""
+    grey = grey_of(image)
+    rows, columns = (n // BLOCK for n in grey.shape)
+    if not rows or not columns:
+        return 0.0
+    blocks = lambda x: x[: rows * BLOCK, : columns * BLOCK].reshape(rows, BLOCK, columns, BLOCK).swapaxes(1, 2).reshape(rows * columns, -1)
+    widths = blocks(edge_widths(grey, upright_edges(grey)))
+    levels = blocks(grey)
+    noticed = np.where(levels.max(1) - levels.min(1) <= 50, *WIDTHS)[:, None]
+    counted = (widths > 0) & (blocks(traced_edges(grey)).sum(1) > BLOCK**2 * EDGES)[:, None]
+    chance = 1 - np.exp(-((widths / noticed) ** EXPONENT))
+    unseen = counted & (np.rint(chance * 100) < UNSEEN)
+    return float(unseen.sum() / max(1, counted.sum()))
+
+
+def sharpness(picture: Column, landmarks: Column | None = None) -> Column:
+    """How sharp a picture is, from 0 to 1: sharpness_of its grey levels, cut out as in laplacian_variance."""
+    return _scored(sharpness_of, picture, landmarks)
+
+
 # Pose
 
 

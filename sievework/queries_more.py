@@ -406,6 +406,16 @@ def a9_laplacian_variance(spark, sf_dir):
     return _shots(spark, sf_dir).select("vec_id", F.round(score / 1e6, 3).alias("score"))
 
 
+@query("g18_sharpness")
+def g18_sharpness(spark, sf_dir):
+    """Pictures of 64 equal rows, each the numbers of a vector."""
+    level = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256)
+    data = F.unhex(F.repeat(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""), F.size("embedding")))
+    shape = [F.size("embedding").alias("height"), F.size("embedding").alias("width"), F.lit(1).alias("channels")]
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.struct(*shape, data.alias("data")).alias("picture"))
+    return rows.select("vec_id", F.round(pixels.sharpness(F.col("picture")), 6).alias("score"))
+
+
 def _angle(k: int):
     """Three angles of a row, none of them 0."""
     return (F.col("c_custkey") * (2 * k + 1) % 40 - 19.5) / 50

@@ -102,3 +102,67 @@ def test_a_pose_does_not_depend_on_other_heads():
     for k in range(40):
         assert np.abs(pixels.poses(points[k : k + 1])[0] - together[k]).max() < 1e-6
     assert np.isnan(pixels.poses(np.full((1, 33, 2), 5.0))).all()
+
+
+def slow_width(grey, y, x):
+    """The slope through one edge, followed pixel by pixel."""
+    g = np.gradient(grey)
+    angle = np.degrees(np.arctan2(g[0][y, x], g[1][y, x])) if g[1][y, x] else 0.0
+    sign = {0: 1, 4: -1}.get(abs(round(angle / 45)))
+    if sign is None:
+        return 0
+    width = 0
+    for way in (-1, 1):
+        at, taken = x + way, 0
+        while taken < 100 and 0 <= at + way < grey.shape[1] and sign * way * (grey[y, at + way] - grey[y, at]) > 0:
+            at, taken = at + way, taken + 1
+        width += taken + 1
+    return width
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edge_widths_are_slopes(seed):
+    random = np.random.default_rng(seed)
+    grey = random.integers(0, 4 + 60 * seed, (9, 130)).astype(float).cumsum(1) * random.choice([-1, 1], (9, 1))
+    grey[4:] += random.integers(-2, 3, (5, 130))
+    edges = random.random(grey.shape) < 0.5
+    got = pixels.edge_widths(grey, edges)
+    for y, x in np.ndindex(*grey.shape):
+        inside = 0 < y < 8 and 0 < x < 129
+        assert got[y, x] == (slow_width(grey, y, x) if inside and edges[y, x] else 0)
+
+
+def test_traced_edges_of_a_square():
+    grey = np.zeros((40, 40))
+    grey[10:30, 10:30] = 90.0
+    found = pixels.traced_edges(grey)
+    assert not found[:8].any() and not found[13:27, 13:27].any() and not found[:, 32:].any()
+    assert (found[13:27, 8:12].sum(1) >= 1).all() and (found[8:12, 13:27].sum(0) >= 1).all()
+    assert not pixels.traced_edges(np.full((40, 40), 7.0)).any()
+    faint = pixels.traced_edges(np.where(np.arange(40) < 20, 0.0, 0.03) * np.ones((40, 1)))
+    assert not faint.any()
+
+
+def test_blurred_pictures_are_less_sharp(spark):
+    """Boxes on a ground, then the same ever more blurred; and what has no block or no edge."""
+    random = np.random.default_rng(2)
+    sharp = np.full((128, 192), 40.0)
+    for top, left in random.integers(4, 100, (12, 2)):
+        sharp[top : top + 20, left : left + 25] = random.integers(60, 250)
+    made = [sharp]
+    for _ in range(3):
+        x = made[-1]
+        for axis in (0, 1):
+            x = np.lib.stride_tricks.sliding_window_view(np.pad(x, [(3, 3) if k == axis else (0, 0) for k in (0, 1)], mode="edge"), 7, axis).mean(-1)
+        made.append(x)
+    scores = [pixels.sharpness_of(x.astype(np.uint8)[..., None]) for x in made]
+    assert scores[0] > 0.9 and scores[-1] < 0.3 and scores == sorted(scores, reverse=True)
+    whole = made[0].astype(np.uint8)
+    three = np.repeat(whole[..., None], 3, 2)
+    face = [[20.0 + 10 * (k % 9), 20.0 + 12 * (k // 9)] for k in range(68)]
+    rows = [("grey", (128, 192, 1, whole.tobytes()), face), ("three", (128, 192, 3, three.tobytes()), None), ("flat", (64, 64, 1, bytes(4096)), face),
+            ("small", (63, 64, 1, bytes(range(64)) * 63), face), ("thin", (1, 300, 1, bytes(300)), face), ("null", None, None)]
+    df = spark.createDataFrame(rows, KIND)
+    got = {r.path: r for r in df.select("path", pixels.sharpness(F.col("picture")).alias("all"), pixels.sharpness(F.col("picture"), F.col("points")).alias("face")).collect()}
+    assert got["grey"]["all"] == got["three"]["all"] == scores[0] and 0 < got["grey"].face <= 1 and got["three"].face == 0
+    assert [got[k]["all"] for k in ("flat", "small", "thin", "null")] == [0, 0, 0, None]
