@@ -291,8 +291,8 @@ def traced_edges(grey: np.ndarray, low: float = 0.1, high: float = 0.2) -> np.nd
         return x
 
     soft = smoothed(grey) / (smoothed(np.ones(grey.shape)) + np.finfo(float).eps)
-    wide = np.pad(soft, 1, mode="symmetric")
-    across, along = wide[:-2] + 2 * wide[1:-1] + wide[2:], wide[:, :-2] + 2 * wide[:, 1:-1] + wide[:, 2:]
+    soft = np.pad(soft, 1, mode="symmetric")
+    across, along = soft[:-2] + 2 * soft[1:-1] + soft[2:], soft[:, :-2] + 2 * soft[:, 1:-1] + soft[:, 2:]
     gx, gy = across[:, 2:] - across[:, :-2], along[2:] - along[:-2]
     size = np.hypot(gx, gy)
     y, x = np.nonzero(size[1:-1, 1:-1] >= low)
@@ -305,15 +305,20 @@ def traced_edges(grey: np.ndarray, low: float = 0.1, high: float = 0.2) -> np.nd
     for way in (1, -1):
         straight = size[y + np.where(flat, 0, way * sy), x + np.where(flat, way * sx, 0)]
         ridge &= own >= share * size[y + way * sy, x + way * sx] + (1 - share) * straight
-    weak, found = np.zeros(grey.shape, bool), np.zeros(grey.shape, bool)
-    weak[y[ridge], x[ridge]] = True
-    front = np.stack([y, x], 1)[ridge & (own >= high)]
-    around = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    wide = grey.shape[1]
+    place = y * wide + x
+    weak = np.zeros(grey.size, bool)
+    weak[place[ridge]] = True
+    front = place[ridge & (own >= high)]
+    weak[front] = False  # what is left of the weak ones is not found yet
+    found = np.zeros(grey.size, bool)
+    around = np.array([i * wide + j for i in (-1, 0, 1) for j in (-1, 0, 1)])
     while len(front):  # ridges never touch the border, so a neighbour is always inside
-        found[front[:, 0], front[:, 1]] = True
-        front = np.unique((front[:, None] + around).reshape(-1, 2), axis=0)
-        front = front[weak[front[:, 0], front[:, 1]] & ~found[front[:, 0], front[:, 1]]]
-    return found
+        found[front] = True
+        near = (front[:, None] + around).ravel()
+        front = np.unique(near[weak[near]])
+        weak[front] = False
+    return found.reshape(grey.shape)
 
 
 def sharpness_of(image: np.ndarray) -> float:
